@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from . import substring_dedup
+from . import near_dedup, substring_dedup
 
 QUERIES = {
+    "op3_near_dedup": near_dedup.query,
     "op6_substring_dedup": substring_dedup.query,
 }
 
