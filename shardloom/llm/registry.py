@@ -2,11 +2,15 @@
 
 from __future__ import annotations
 
-from . import near_dedup, substring_dedup
+from . import near_dedup, substring_dedup, token_counts, warc
 
 QUERIES = {
+    "op1_warc": warc.query,
     "op3_near_dedup": near_dedup.query,
+    "op5_token_counts": token_counts.query,
     "op6_substring_dedup": substring_dedup.query,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op1_warc": warc.ORACLE_SQL,
+}
