@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from . import near_dedup, substring_dedup, token_counts, warc
+from . import decontamination, near_dedup, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.query,
     "op3_near_dedup": near_dedup.query,
+    "op4_decontamination": decontamination.query,
     "op5_token_counts": token_counts.query,
     "op6_substring_dedup": substring_dedup.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE_SQL,
+    "op4_decontamination": decontamination.ORACLE_SQL,
 }
