@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from . import decontamination, near_dedup, substring_dedup, token_counts, warc
+from . import decontamination, mixing, near_dedup, pseudonyms, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.query,
+    "op2_pseudonyms": pseudonyms.query,
     "op3_near_dedup": near_dedup.query,
     "op4_decontamination": decontamination.query,
     "op5_token_counts": token_counts.query,
     "op6_substring_dedup": substring_dedup.query,
+    "op9_mixing": mixing.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE_SQL,
     "op4_decontamination": decontamination.ORACLE_SQL,
+    "op9_mixing": mixing.ORACLE_SQL,
 }
