@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, pseudonyms, substring_dedup, token_counts, warc
+from . import decontamination, mixing, near_dedup, pseudonyms, quality, substring_dedup, token_counts, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontamination.query,
     "op5_token_counts": token_counts.query,
     "op6_substring_dedup": substring_dedup.query,
+    "op8_quality": quality.query,
     "op9_mixing": mixing.query,
 }
 
