@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, pseudonyms, quality, substring_dedup, token_counts, warc
+from . import decontamination, mixing, near_dedup, pseudonyms, quality, substring_dedup, token_counts, vector_forest, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -13,6 +13,7 @@ QUERIES = {
     "op6_substring_dedup": substring_dedup.query,
     "op8_quality": quality.query,
     "op9_mixing": mixing.query,
+    "op10_vector_forest": vector_forest.query,
 }
 
 ORACLE_SQL: dict[str, str] = {
