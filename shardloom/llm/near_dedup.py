@@ -13,10 +13,11 @@ Steps, each ended by a written table:
    chunks; a maximum spanning tree over the sketches' agreement names the
    candidates of a chunk, so their number is linear in the table's size.
 4. Candidates are confirmed, and links joined to components.
-5. Tables that still hold several components give every pair of classes from
-   different components whose sketches agree on half the hashes or more; the
-   largest component's members stay in their chunks and only the others are
-   copied to every chunk. These are confirmed too.
+5. Every group of A that still holds several components is looked through for
+   further pairs: rows of the largest component stay in their chunks and only the
+   others are copied to every chunk. Of these pairs the sketches, and then the 256
+   smallest members of each set, drop those that are unlikely by four standard
+   deviations (sets of up to 256 are decided); the rest is confirmed as before.
 
 A pair at a Jaccard similarity of 0.75 shares a key with probability 0.9999, and
 agrees on 24 of 48 sketch hashes with probability 0.9999.
@@ -47,6 +48,9 @@ ROWS = 2
 HASHES = 2 * GROUPS * ROWS
 #: Sketch hashes that must agree for a pair to be confirmed on its full sets.
 AGREE = HASHES // 2
+#: Smallest members of a set that speak for it before the full sets do.
+LOW = 256
+_NONE = np.iinfo(np.uint64).max
 #: Classes compared with each other in one place.
 CHUNK = 1024
 #: Ids up to which a list of wanted documents is broadcast (64 MB); beyond it is joined by shuffle.
@@ -197,14 +201,21 @@ def _chunks(batches: Iterator[pa.RecordBatch], names: list[str], key: str = "par
 
 
 def _columns(held: list[pa.RecordBatch], names: list[str]) -> dict[str, np.ndarray]:
-    out = {}
-    for name in names:
-        parts = [x.column(name) for x in held]
-        if name == "sketch":
-            out[name] = np.concatenate([_matrix(p) for p in parts])
-        else:
-            out[name] = np.concatenate([p.to_numpy(zero_copy_only=False) for p in parts])
-    return out
+    return {name: np.concatenate([_values(name, x.column(name)) for x in held]) for name in names}
+
+
+def _values(name: str, column: pa.Array) -> np.ndarray:
+    if name == "sketch":
+        return _matrix(column)
+    if name == "groups":
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * GROUPS)
+    if name == "low":
+        out = np.full((len(column), LOW), _NONE, np.uint64)
+        for i, x in enumerate(column):
+            members = np.frombuffer(x.as_buffer(), np.uint64)
+            out[i, : len(members)] = members
+        return out
+    return column.to_numpy(zero_copy_only=False)
 
 
 def _pairs(a: list, b: list) -> pa.RecordBatch:
@@ -244,33 +255,89 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(left, right)
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pairs of a chunk from different components of which one is a minor one's."""
-    left, right, held = [], [], 0
-    for rows in _chunks(batches, ["node", "sketch", "root", "minor"]):
-        nodes, first = np.unique(rows["node"], return_index=True)
-        sketch, root, minor = (rows[c][first] for c in ("sketch", "root", "minor"))
-        for i in np.flatnonzero(minor):
-            near = ((sketch == sketch[i]).sum(1) >= AGREE) & (root != root[i])
-            near &= ~minor | (nodes > nodes[i])
-            if near.any():
-                right.append(nodes[near])
-                left.append(np.full(len(right[-1]), nodes[i]))
-                held += len(right[-1])
-        if held > 100_000:
-            yield _pairs(left, right)
-            left, right, held = [], [], 0
-    yield _pairs(left, right)
+_REST = "part long, pos int, node long, root long, minor boolean, sketch binary, groups array<long>"
 
 
-def _links(docs: DataFrame, reps: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
-    """Candidate pairs that the full sets confirm."""
-    wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    wanted = materialize(wanted.join(reps.select("node", "doc"), "node").select("doc"), "wanted")
+def _near(rows: dict[str, np.ndarray], i: int) -> np.ndarray:
+    """Rows of other components whose sketches agree with row i's, and that meet it in no earlier table."""
+    near = (rows["root"] != rows["root"][i]) & ((rows["sketch"] == rows["sketch"][i]).sum(1) >= AGREE)
+    near &= ~rows["minor"] | (rows["node"] > rows["node"][i])
+    at = np.flatnonzero(near)
+    earlier = rows["groups"][at][:, : rows["pos"][i]] == rows["groups"][i, : rows["pos"][i]]
+    return at[~earlier.any(1)]
+
+
+def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows of a chunk that have a near row of another component."""
+    names = [c.split(" ")[0] for c in _REST.split(", ")]
+    for rows in _chunks(batches, names):
+        flag = np.zeros(len(rows["node"]), bool)
+        for i in np.flatnonzero(rows["minor"]):
+            near = _near(rows, i)
+            flag[near] = True
+            flag[i] |= len(near) > 0
+        at = np.flatnonzero(flag)
+        if len(at):
+            flat = pa.array(rows["groups"][at].ravel())
+            groups = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * 2 * GROUPS, pa.int32()), flat)
+            plain = {n: pa.array(rows[n][at]) for n in ("part", "pos", "node", "root", "minor")}
+            sketch = pa.array([x.tobytes() for x in rows["sketch"][at]], pa.binary())
+            yield pa.RecordBatch.from_arrays([*plain.values(), sketch, groups], names=names)
+
+
+def _across(percent: int):
+    """Pairs of a chunk from different components that their smallest members leave likely."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        left, right, held = [], [], 0
+        for rows in _chunks(batches, ["pos", "node", "root", "minor", "sketch", "groups", "low"]):
+            low = rows["low"]
+            for i in np.flatnonzero(rows["minor"]):
+                near = _near(rows, i)
+                for part in np.array_split(near, len(near) // 4096 + 1):
+                    likely = part[_likely(low[i], low[part], percent)] if len(part) else part
+                    if len(likely):
+                        right.append(rows["node"][likely])
+                        left.append(np.full(len(likely), rows["node"][i]))
+                        held += len(likely)
+            if held > 100_000:
+                yield _pairs(left, right)
+                left, right, held = [], [], 0
+        yield _pairs(left, right)
+
+    return run
+
+
+def _likely(one: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
+    """Whether the smallest members speak for the similarity; exact where they are all members.
+
+    Rows hold up to LOW members, ascending, padded with the largest number.
+    """
+    both = np.concatenate([many, np.broadcast_to(one, many.shape)], axis=1)
+    both.sort(axis=1)
+    real = both != _NONE
+    twice = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
+    union = real.sum(1) - twice.sum(1)
+    rank = np.cumsum(np.concatenate([real[:, :1], real[:, 1:] & ~twice], axis=1), axis=1)
+    whole = (one[-1] == _NONE) & (many[:, -1] == _NONE)
+    size = np.where(whole, union, np.minimum(union, LOW))
+    common = (twice & (rank[:, 1:] <= size[:, None])).sum(1)
+    spread = np.where(whole, 0.0, 4 * np.sqrt(percent * (100 - percent) / size))
+    return 100 * common >= (percent - spread) * size - 1e-9
+
+
+def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
+    """(node, members): the full shingle sets of ``nodes``, ascending."""
+    wanted = materialize(nodes.distinct().join(reps.select("node", "doc"), "node").select("doc"), "wanted")
     texts = docs.select(F.col("doc_id").alias("doc"), "text")
     small = wanted.count() <= WANTED_BROADCAST
     texts = texts.join(F.broadcast(wanted) if small else wanted, "doc", "left_semi").select("text")
-    sets = materialize(texts.mapInArrow(_set_rows(width), "node long, members binary"), "sets").dropDuplicates(["node"])
+    found = texts.mapInArrow(_set_rows(width), "node long, members binary")
+    return materialize(found, "sets").dropDuplicates(["node"])
+
+
+def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidate pairs that the full sets confirm."""
     both = pairs.join(sets.select(F.col("node").alias("a"), F.col("members").alias("set_a")), "a").join(
         sets.select(F.col("node").alias("b"), F.col("members").alias("set_b")), "b"
     )
@@ -320,25 +387,32 @@ def near_dedup(
     tried = materialize(twos.union(trees).distinct(), "candidates")
 
     # 4. links and components so far
-    links = _links(docs, reps, tried, width, percent)
+    nodes = tried.select(F.explode(F.array("a", "b")).alias("node"))
+    links = _links(tried, _sets(docs, reps, nodes, width), percent)
     roots = components(links)
 
-    # 5. tables that hold several components
-    labelled = members.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = materialize(labelled, "labelled")
-    mixed = labelled.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows"))
-    mixed = mixed.groupBy("key").agg(
-        F.max(F.struct("rows", "root")).getField("root").alias("major"), F.count(F.lit(1)).alias("roots")
-    )
-    mixed = materialize(mixed.filter("roots > 1").select("key", "major"), "mixed")
-    rest = labelled.join(mixed, "key").withColumn("minor", F.col("root") != F.col("major"))
-    spread = F.when(F.col("minor"), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array("chunk"))
-    rest = rest.withColumn("part", F.explode(spread)).select(
-        "node", "sketch", "root", "minor", F.xxhash64("key", "part").alias("part")
+    # 5. A groups that hold several components
+    labelled = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    labelled = materialize(labelled.select("node", "root", "sketch", "groups"), "labelled")
+    rows = labelled.select("node", "root", F.posexplode(F.slice("groups", 1, GROUPS)).alias("pos", "key"))
+    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(
+        F.max(F.struct("rows", "root")).getField("root").alias("major"),
+        F.count(F.lit(1)).alias("roots"),
+        F.ceil(F.sum("rows") / CHUNK).cast("long").alias("chunks"),
     )
-    more = _by_chunk(rest).mapInArrow(_across, "a long, b long").distinct().join(tried, ["a", "b"], "left_anti")
-    more = materialize(more, "candidates")
-    late = _links(docs, reps, more, width, percent)
+    mixed = materialize(counts.filter("roots > 1").select("key", "major", "chunks"), "mixed")
+    rest = rows.join(mixed, "key").withColumn("minor", F.col("root") != F.col("major"))
+    own = F.array(F.pmod(F.xxhash64("node", "key"), F.col("chunks")))
+    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
+    rest = rest.withColumn("chunk", F.explode(F.when(F.col("minor"), every).otherwise(own)))
+    rest = rest.select("node", "pos", "minor", F.xxhash64("key", "chunk").alias("part")).join(labelled, "node")
+    rest = _by_chunk(rest.select("part", "pos", "node", "root", "minor", "sketch", "groups"))
+    rest = materialize(rest.mapInArrow(_flagged, _REST), "flagged")
+    sets = _sets(docs, reps, rest.select("node"), width)
+    low = sets.select("node", F.substring("members", 1, 8 * LOW).alias("low"))
+    more = _by_chunk(rest.join(low, "node")).mapInArrow(_across(percent), "a long, b long")
+    more = materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
+    late = _links(more, sets, percent)
     if not late.isEmpty():
         roots = components(links.union(late))
 
