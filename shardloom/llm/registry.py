@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from . import decontamination, mixing, near_dedup, pseudonyms, quality, substring_dedup, token_counts, vector_forest, warc
+from . import decontamination, mixing, near_dedup, pseudonyms, quality, role_repair, substring_dedup, token_counts, vector_forest, warc
 
 QUERIES = {
     "op1_warc": warc.query,
@@ -11,6 +11,7 @@ QUERIES = {
     "op4_decontamination": decontamination.query,
     "op5_token_counts": token_counts.query,
     "op6_substring_dedup": substring_dedup.query,
+    "op7_role_repair": role_repair.query,
     "op8_quality": quality.query,
     "op9_mixing": mixing.query,
     "op10_vector_forest": vector_forest.query,
