@@ -117,19 +117,28 @@ def without_spans(text: Column, spans: Column) -> Column:
     return F.array_join(pieces, "")
 
 
+#: Documents with hits up to which these are broadcast; beyond it they are joined by shuffle.
+BROADCAST_HITS = 1_000_000
+
+
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 8, most_items: int = 1) -> DataFrame:
-    """``docs`` without documents that hold windows of more than ``most_items`` items, and others without their hit words."""
-    hits = find_hits(docs, benchmark, length).filter("n_hit > 0").select(
-        F.col("doc_id").alias("hit_id"), "text_hash", "spans", F.size("items").alias("n_items")
-    )
+    """``docs`` without documents that hold windows of more than ``most_items`` items, and others without their hit words.
+
+    ``docs``: doc_id, text and any other columns; n_chars, if there, follows the text.
+    """
     from .store import materialize
 
+    hits = find_hits(docs, benchmark, length).filter("n_hit > 0").select(
+        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"), F.size("items").alias("__items")
+    )
     hits = materialize(hits, "hits")
-    keyed = docs.withColumn("__hash", F.xxhash64(F.col("text").cast("string")))
-    met = keyed.join(hits, keyed["doc_id"].cast("long").eqNullSafe(hits["hit_id"]) & (keyed["__hash"] == hits["text_hash"]), "left")
-    met = met.filter(F.coalesce("n_items", F.lit(0)) <= most_items)
-    text = F.when(F.col("spans").isNull(), F.col("text")).otherwise(without_spans(F.col("text"), F.col("spans")))
-    return met.select(*(text.alias("text") if c == "text" else keyed[c] for c in docs.columns))
+    few = hits.count() <= BROADCAST_HITS
+    same = docs["doc_id"].cast("long").eqNullSafe(hits["__id"]) & (F.xxhash64(docs["text"].cast("string")) == hits["__hash"])
+    met = docs.join(F.broadcast(hits) if few else hits, same, "left").filter(F.coalesce("__items", F.lit(0)) <= most_items)
+    hit = F.col("__spans").isNotNull()
+    text = F.when(hit, without_spans(docs["text"], F.col("__spans"))).otherwise(docs["text"])
+    columns = {"text": text, "n_chars": F.when(hit, F.length(text).cast("long")).otherwise(docs["n_chars"]) if "n_chars" in docs.columns else None}
+    return met.select(*((columns[c] if c in columns else docs[c]).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:

@@ -100,52 +100,56 @@ def mix(
     seed: int = 0,
     id_col: str = "doc_id",
     text_col: str = "text",
+    carry: bool = False,
 ) -> DataFrame:
-    """Per document: doc_id, the levels, n_tokens, leaf_budget and copies (how often the mix holds it).
+    """Per document: id, level_<name> of each level, n_tokens, leaf_budget and copies (how often the mix holds it).
 
     ``levels``: name -> column of ``docs``, from the root. The budget is ``budget`` tokens or ``share`` of the corpus.
-    ``weights``: level -> value -> weight, 1 where none is given.
+    ``weights``: level -> value -> weight, 1 where none is given. ``carry``: also ``row``, the whole row of ``docs``.
     """
     from .store import materialize
 
-    names = list(levels)
-    each = docs.select(
-        F.col(id_col).alias("doc_id"),
-        *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in levels.items()),
+    names = [f"level_{n}" for n in levels]
+    rows = docs.select(
+        F.col(id_col).alias("id"),
+        *(F.coalesce(c.cast("string"), F.lit("")).alias(n) for n, c in zip(names, levels.values(), strict=True)),
         n_tokens(F.col(text_col).cast("string")).alias("n_tokens"),
+        *([F.struct(*(docs[c] for c in docs.columns)).alias("row")] if carry else []),
     )
-    each = materialize(each, "tokens")
+    each = materialize(rows.select("id", *names, "n_tokens"), "tokens")
     leaves = materialize(each.groupBy(*names).agg(F.sum("n_tokens").alias("tokens")), "leaves")
     if budget is None:
         budget = int(share * (leaves.agg(F.sum("tokens")).first()[0] or 0))
-    budgets = materialize(leaf_budgets(leaves, names, weights, budget, max_epochs), "budgets")
+    by_name = {f"level_{k}": v for k, v in weights.items()}
+    budgets = materialize(leaf_budgets(leaves, names, by_name, budget, max_epochs), "budgets")
     few = budgets.count() <= BROADCAST_LEAVES
     epochs = F.when(F.col("tokens") > 0, F.expr("budget div tokens")).otherwise(F.lit(0))
     budgets = budgets.withColumn("epochs", epochs).withColumn("rest", F.col("budget") - F.col("epochs") * F.col("tokens"))
-    met = each.join(F.broadcast(budgets) if few else budgets, names)
-    met = met.withColumn("order", seeded_order(seed, F.col("epochs"), F.col("doc_id")))
-    met = met.withColumn("range", F.shiftright("order", 60 - (RANGES.bit_length() - 1)).cast("int"))
+    met = _ordered(each.join(F.broadcast(budgets) if few else budgets, names), seed)
     sums = met.groupBy(*names, "range").agg(F.sum("n_tokens").alias("held"), F.max("rest").alias("rest"))
     so_far = Win.partitionBy(*names).orderBy("range").rowsBetween(Win.unboundedPreceding, Win.currentRow)
-    sums = sums.withColumn("upto", F.sum("held").over(so_far))
-    sums = materialize(sums.select(*names, "range", "upto", (F.col("upto") - F.col("held")).alias("before"), "rest"), "ranges")
+    sums = sums.withColumn("upto", F.sum("held").over(so_far)).withColumn("before", F.col("upto") - F.col("held"))
     ends = sums.filter("before <= rest and rest < upto").select(*names, F.col("range").alias("end"), "before")
-    whole = budgets.join(ends, names, "left")
-    met = each.join(F.broadcast(whole) if few else whole, names)
-    met = met.withColumn("order", seeded_order(seed, F.col("epochs"), F.col("doc_id")))
-    met = met.withColumn("range", F.shiftright("order", 60 - (RANGES.bit_length() - 1)).cast("int"))
-    out = [F.col("doc_id"), *map(F.col, names), F.col("n_tokens"), F.col("budget").alias("leaf_budget")]
+    whole = materialize(budgets.join(ends, names, "left"), "ends")
+    met = _ordered((rows if carry else each).join(F.broadcast(whole) if few else whole, names), seed)
+    out = ["id", *names, "n_tokens", F.col("budget").alias("leaf_budget"), *(["row"] if carry else [])]
     # all that is before the range with the end is in; an epoch without an end is one that fits
     plain = met.filter("end is null or range <> end")
     fits = F.col("end").isNull() & (F.col("rest") >= F.col("tokens")) | (F.col("range") < F.col("end"))
     plain = plain.select(*out, (F.col("epochs") + F.coalesce(fits, F.lit(False)).cast("long")).alias("copies"))
     edge = met.filter("range = end")
-    run = Win.partitionBy(*names).orderBy("order", "doc_id", "n_tokens").rowsBetween(Win.unboundedPreceding, Win.currentRow)
+    run = Win.partitionBy(*names).orderBy("order", "id", "n_tokens").rowsBetween(Win.unboundedPreceding, Win.currentRow)
     edge = edge.withColumn("sum", F.col("before") + F.sum("n_tokens").over(run))
     edge = edge.select(*out, (F.col("epochs") + (F.col("sum") <= F.col("rest")).cast("long")).alias("copies"))
     return plain.union(edge)
 
 
+def _ordered(rows: DataFrame, seed: int) -> DataFrame:
+    """With each row's place in the seeded order, and its hash range."""
+    rows = rows.withColumn("order", seeded_order(seed, F.col("epochs"), F.col("id")))
+    return rows.withColumn("range", F.shiftright("order", 60 - (RANGES.bit_length() - 1)).cast("int"))
+
+
 # Documents have no column for a domain: the query derives one of four from the source's name.
 DOMAIN = "concat('dom', pmod(cast(conv(substring(md5(source), 1, 8), 16, 10) as long), 4))"
 LEVELS = ("domain", "lang", "source")
@@ -153,15 +157,17 @@ WEIGHTS = {"domain": {"dom0": 4, "dom1": 3, "dom2": 2, "dom3": 1}, "lang": {"en"
 SHARE, MAX_EPOCHS, SEED = 0.6, 4, 17
 
 
-def mix_documents(docs: DataFrame) -> DataFrame:
+def mix_documents(docs: DataFrame, carry: bool = False) -> DataFrame:
     levels = {"domain": F.expr(DOMAIN), "lang": F.col("lang"), "source": F.col("source")}
-    return mix(docs, levels, WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed=SEED)
+    return mix(docs, levels, WEIGHTS, share=SHARE, max_epochs=MAX_EPOCHS, seed=SEED, carry=carry)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
     from .store import table
 
-    return mix_documents(table(spark, sf_dir, "documents"))
+    mixed = mix_documents(table(spark, sf_dir, "documents"))
+    levels = [F.col(f"level_{n}").alias(n) for n in LEVELS]
+    return mixed.select(F.col("id").alias("doc_id"), *levels, "n_tokens", "leaf_budget", "copies")
 
 
 def _level_sql(name: str, above: str, path: list[str]) -> str:
