@@ -135,12 +135,13 @@ def mix(
     out = ["id", *names, "n_tokens", F.col("budget").alias("leaf_budget"), *(["row"] if carry else [])]
     # all that is before the range with the end is in; an epoch without an end is one that fits
     plain = met.filter("end is null or range <> end")
-    fits = F.col("end").isNull() & (F.col("rest") >= F.col("tokens")) | (F.col("range") < F.col("end"))
+    fits = (F.col("rest") > 0) & (F.col("end").isNull() & (F.col("rest") >= F.col("tokens")) | (F.col("range") < F.col("end")))
     plain = plain.select(*out, (F.col("epochs") + F.coalesce(fits, F.lit(False)).cast("long")).alias("copies"))
     edge = met.filter("range = end")
     run = Win.partitionBy(*names).orderBy("order", "id", "n_tokens").rowsBetween(Win.unboundedPreceding, Win.currentRow)
     edge = edge.withColumn("sum", F.col("before") + F.sum("n_tokens").over(run))
-    edge = edge.select(*out, (F.col("epochs") + (F.col("sum") <= F.col("rest")).cast("long")).alias("copies"))
+    fits = (F.col("rest") > 0) & (F.col("sum") <= F.col("rest"))
+    edge = edge.select(*out, (F.col("epochs") + fits.cast("long")).alias("copies"))
     return plain.union(edge)
 
 
@@ -200,4 +201,4 @@ root AS (SELECT floor({SHARE} * sum(tokens))::HUGEINT AS budget FROM leaves),{_l
 met AS (SELECT each.*, budget, CASE WHEN tokens > 0 THEN budget // tokens ELSE 0 END AS epochs, tokens FROM each JOIN leaves USING (domain, lang, source) JOIN c USING (domain, lang, source)),
 hashed AS (SELECT *, ('0x' || substr(md5('{SEED}:' || epochs || ':' || doc_id), 1, 15))::BIGINT AS o FROM met),
 run AS (SELECT *, sum(n_tokens) OVER (PARTITION BY domain, lang, source ORDER BY o, doc_id, n_tokens ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS s FROM hashed)
-SELECT doc_id, domain, lang, source, n_tokens, budget::BIGINT AS leaf_budget, (epochs + CASE WHEN s <= budget - epochs * tokens THEN 1 ELSE 0 END)::BIGINT AS copies FROM run"""
+SELECT doc_id, domain, lang, source, n_tokens, budget::BIGINT AS leaf_budget, (epochs + CASE WHEN epochs * tokens < budget AND s <= budget - epochs * tokens THEN 1 ELSE 0 END)::BIGINT AS copies FROM run"""

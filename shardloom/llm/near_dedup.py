@@ -24,7 +24,7 @@ agrees on 24 of 48 sketch hashes with probability 0.9999.
 
 Defined results: a document without words is linked with nothing and kept; one of
 fewer words than the shingle length has its whole word sequence as one shingle;
-null ids are smaller than none (a component of null ids alone has a null id);
+a component's id leaves null ids out (one of null ids alone has a null id);
 rows that share an id and a text fall into one class; an empty table gives an
 empty result.
 """
@@ -60,7 +60,7 @@ _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 2**64, HASHES, np.uint64)
 _MUL = _rng.integers(0, 2**64, HASHES, np.uint64) | np.uint64(1)
 
-_SKETCH = "doc_id long, n_shingles long, node long, groups array<long>, sketch binary"
+_SKETCH = "doc_id long, place long, n_shingles long, node long, groups array<long>, sketch binary"
 
 
 def _shingles(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -121,12 +121,13 @@ def _sketches(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
+                        batch.column("place").slice(a, b - a),
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.int64(), mask=sizes == 0),
                         pa.array(groups, pa.list_(pa.int64())),
                         pa.array(sketches, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "node", "groups", "sketch"],
+                    names=["doc_id", "place", "n_shingles", "node", "groups", "sketch"],
                 )
 
     return run
@@ -328,10 +329,10 @@ def _likely(one: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
 
 def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
     """(node, members): the full shingle sets of ``nodes``, ascending."""
-    wanted = materialize(nodes.distinct().join(reps.select("node", "doc"), "node").select("doc"), "wanted")
-    texts = docs.select(F.col("doc_id").alias("doc"), "text")
+    wanted = materialize(nodes.distinct().join(reps.select("node", "place"), "node").select("place"), "wanted")
+    texts = docs.select("place", "text")
     small = wanted.count() <= WANTED_BROADCAST
-    texts = texts.join(F.broadcast(wanted) if small else wanted, "doc", "left_semi").select("text")
+    texts = texts.join(F.broadcast(wanted) if small else wanted, "place", "left_semi").select("text")
     found = texts.mapInArrow(_set_rows(width), "node long, members binary")
     return materialize(found, "sets").dropDuplicates(["node"])
 
@@ -349,10 +350,14 @@ def near_dedup(
 ) -> DataFrame:
     """Per document: n_shingles, component_id (smallest id of its component) and kept (it has that id)."""
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
+    # by which a text is found again: the id, or a hash of the text where there is none
+    docs = docs.withColumn("place", F.coalesce("doc_id", F.xxhash64("text")))
     sketches = materialize(docs.mapInArrow(_sketches(width), _SKETCH), "sketches")
     full = sketches.filter("node is not null")
-    reps = full.groupBy("node").agg(F.min("doc_id").alias("doc"), F.first("groups").alias("groups"), F.first("sketch").alias("sketch"))
-    reps = materialize(reps.filter("doc is not null"), "reps")
+    reps = full.groupBy("node").agg(
+        F.min("place").alias("place"), F.first("groups").alias("groups"), F.first("sketch").alias("sketch")
+    )
+    reps = materialize(reps, "reps")
 
     # 2. groups that at least two classes share, and the keys made of them
     each = reps.select("node", F.posexplode("groups").alias("pos", "value"))

@@ -152,6 +152,8 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
         rows = rng.integers(0, len(y), min(len(y), 4000))
         _grow(x, y, rows, cuts, rng, (), found)
     rules = sorted(found)
+    if not rules:
+        return RuleModel((), (), float(np.log(share / (1 - share))))
     met = np.stack([holds(rule, x) for rule in rules], axis=1).astype(float)
     # of rules that hold for the same rows the shortest stays
     _, first = np.unique(met, axis=1, return_index=True)
