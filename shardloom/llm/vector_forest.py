@@ -43,7 +43,8 @@ LEAST_SHARE = 0.35
 CHUNK = 8192
 SEED = 5
 
-_NODE = "tree int, first int, second int, cls long, vector binary"
+_STRING = "tree int, first int, second int, cls long"
+_NODE = f"{_STRING}, vector binary"
 _PROBE = "tree int, level int, first int, second int, cls long"
 _FOUND = "query long, cls long, score double"
 
@@ -53,9 +54,9 @@ def _rotations(size: int, trees: int, seed: int) -> np.ndarray:
     return np.stack([np.linalg.qr(rng.standard_normal((size, size)))[0] for _ in range(trees)])
 
 
-def _matrix(column: pa.Array, size: int) -> np.ndarray:
-    flat = np.frombuffer(b"".join(column.to_pylist()), np.float64)
-    return flat.reshape(-1, size)
+def _matrix(column: pa.Array, size: int, kind: str) -> np.ndarray:
+    """Vectors in double precision; ``kind``: the NumPy type they are kept in."""
+    return np.frombuffer(b"".join(column.to_pylist()), kind).astype(np.float64).reshape(-1, size)
 
 
 def _axes(x: np.ndarray, rotation: np.ndarray, count: int) -> np.ndarray:
@@ -67,15 +68,15 @@ def _axes(x: np.ndarray, rotation: np.ndarray, count: int) -> np.ndarray:
     return 2 * (top % n) + top // n
 
 
-def _strings(size: int, longest: float, trees: int, seed: int):
-    """Index rows: a string of two characters in each tree."""
+def _strings(size: int, kind: str, longest: float, trees: int, seed: int, whole: bool):
+    """Index rows: a string of two characters in each tree; ``whole``: with the vector."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rotations = _rotations(size + 1, trees, seed)
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("vector"), size)
+            x = _matrix(batch.column("vector"), size, kind)
             level = np.sqrt(np.maximum(longest**2 - (x * x).sum(1), 0))
             x = np.concatenate([x, level[:, None]], axis=1)
             for tree in range(trees):
@@ -86,15 +87,15 @@ def _strings(size: int, longest: float, trees: int, seed: int):
                         pa.array(top[:, 0], pa.int32()),
                         pa.array(top[:, 1], pa.int32()),
                         batch.column("cls"),
-                        batch.column("vector"),
+                        *([batch.column("vector")] if whole else []),
                     ],
-                    names=["tree", "first", "second", "cls", "vector"],
+                    names=["tree", "first", "second", "cls", "vector"][: 4 + whole],
                 )
 
     return run
 
 
-def _descents(size: int, trees: int, probes: int, seed: int):
+def _descents(size: int, kind: str, trees: int, probes: int, seed: int):
     """The prefixes at which a query looks, at both levels."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -104,7 +105,7 @@ def _descents(size: int, trees: int, probes: int, seed: int):
         for batch in batches:
             if not batch.num_rows:
                 continue
-            x = _matrix(batch.column("vector"), size)
+            x = _matrix(batch.column("vector"), size, kind)
             x = np.concatenate([x, np.zeros((len(x), 1))], axis=1)
             for tree in range(trees):
                 top = _axes(x, rotations[tree], max(probes, 4))
@@ -124,7 +125,7 @@ def _descents(size: int, trees: int, probes: int, seed: int):
     return run
 
 
-def _ranked(size: int, count: int):
+def _ranked(size: int, kind: str, count: int):
     """Candidates of one chunk of a node for the queries that came to it."""
 
     def run(key, rows, queries):
@@ -134,10 +135,10 @@ def _ranked(size: int, count: int):
             order = np.argsort(second, kind="stable")
             second = second[order]
             cls = rows.column("cls").to_numpy()[order]
-            x = _matrix(rows.column("vector"), size)[order]
+            x = _matrix(rows.column("vector"), size, kind)[order]
             q_cls = queries.column("cls").to_numpy()
             q_second = queries.column("second").to_numpy()
-            q = _matrix(queries.column("vector"), size)
+            q = _matrix(queries.column("vector"), size, kind)
             for prefix in np.unique(q_second):
                 a, b = (0, len(x)) if prefix < 0 else np.searchsorted(second, [prefix, prefix + 1])
                 if a == b:
@@ -161,20 +162,23 @@ def _best(q, q_cls, x, cls, count):
     return [(np.repeat(q_cls, keep.shape[1]), cls[np.take_along_axis(near, keep, 1)].ravel(), np.take_along_axis(exact, keep, 1).ravel())]
 
 
-def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        lists = batch.column("embedding")
-        flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
-        ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
-        data = [flat[a:b].tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        norms = [float(np.sqrt((flat[a:b] ** 2).sum())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
-        yield pa.RecordBatch.from_arrays(
-            [batch.column("cls"), batch.column("ids"), pa.array(data, pa.binary()), pa.array(norms, pa.float64())],
-            names=["cls", "ids", "vector", "norm"],
-        )
+def _packed(kind: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            lists = batch.column("embedding")
+            flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.float64)
+            ends = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy(zero_copy_only=False))])
+            data = [flat[a:b].astype(kind).tobytes() for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            norms = [float(np.sqrt((flat[a:b] ** 2).sum())) for a, b in zip(ends[:-1], ends[1:], strict=True)]
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("cls"), batch.column("ids"), pa.array(data, pa.binary()), pa.array(norms, pa.float64())],
+                names=["cls", "ids", "vector", "norm"],
+            )
+
+    return run
 
 
-def classes(vectors: DataFrame, keep: int) -> DataFrame:
+def classes(vectors: DataFrame, keep: int, kind: str) -> DataFrame:
     """(cls, ids, vector, norm): rows with equal vectors as one, with their ``keep`` smallest ids.
 
     ``vectors``: vec_id, embedding, cls. A hot vector's ids are cut down before the shuffle.
@@ -182,7 +186,7 @@ def classes(vectors: DataFrame, keep: int) -> DataFrame:
     by = Win.partitionBy("cls").orderBy("vec_id")
     few = vectors.withColumn("rank", F.row_number().over(by)).filter(F.col("rank") <= keep)
     one = few.groupBy("cls").agg(F.array_sort(F.collect_set("vec_id")).alias("ids"), F.max(F.when(F.col("rank") == 1, F.col("embedding"))).alias("embedding"))
-    return one.mapInArrow(_packed, "cls long, ids array<long>, vector binary, norm double")
+    return one.mapInArrow(_packed(kind), "cls long, ids array<long>, vector binary, norm double")
 
 
 def usable(table: DataFrame) -> DataFrame:
@@ -200,15 +204,17 @@ def search(table: DataFrame, is_query, k: int = 20) -> DataFrame:
     """Rows (query_id, rank, vec_id, score) for the rows of ``table`` (vec_id, embedding) where ``is_query`` holds."""
     spark = table.sparkSession
     vectors = usable(table)
-    index = materialize(classes(vectors, k + 1), "classes")
+    # vectors of floats are kept as such; all arithmetic is in double precision
+    kind = "<f4" if dict(table.dtypes)["embedding"] == "array<float>" else "<f8"
+    index = materialize(classes(vectors, k + 1, kind), "classes")
     facts = index.agg(F.count(F.lit(1)), F.max("norm"), F.max(F.octet_length("vector"))).first()
-    count, longest, size = facts[0], facts[1] or 0.0, (facts[2] or 0) // 8
+    count, longest, size = facts[0], facts[1] or 0.0, (facts[2] or 0) // np.dtype(kind).itemsize
     asked = materialize(vectors.filter(is_query).select(F.col("vec_id").alias("query_id"), F.col("cls").alias("query")).distinct(), "asked")
 
-    # strings of all rows, and how many rows each prefix holds (at most trees * axes^2 prefixes)
-    strings = materialize(index.select("cls", "vector").mapInArrow(_strings(size, longest, TREES, SEED), _NODE), "strings")
-    held = strings.groupBy("tree", "first", "second").agg(F.count(F.lit(1)).alias("n"))
-    held = materialize(held, "prefixes")
+    # how many rows each prefix holds (at most trees * axes^2 prefixes)
+    hashed = index.select("cls", "vector")
+    held = hashed.mapInArrow(_strings(size, kind, longest, TREES, SEED, False), _STRING)
+    held = materialize(held.groupBy("tree", "first", "second").agg(F.count(F.lit(1)).alias("n")), "prefixes")
     nodes = held.groupBy("tree", "first").agg(F.sum("n").alias("n"))
     prefixes = nodes.select("tree", F.lit(1).alias("level"), "first", F.lit(-1).alias("second"), "n").union(
         held.select("tree", F.lit(2).alias("level"), "first", "second", "n")
@@ -218,7 +224,7 @@ def search(table: DataFrame, is_query, k: int = 20) -> DataFrame:
     # descend, and ascend together until there are enough candidates
     heads = asked.select(F.col("query").alias("cls")).distinct().join(index.select("cls", "vector"), "cls")
     heads = materialize(heads, "heads")
-    probes = materialize(heads.mapInArrow(_descents(size, TREES, PROBES, SEED), _PROBE), "probes")
+    probes = materialize(heads.mapInArrow(_descents(size, kind, TREES, PROBES, SEED), _PROBE), "probes")
     met = probes.join(F.broadcast(prefixes), ["tree", "level", "first", "second"])
     least = max(LEAST_CANDIDATES, LEAST_SHARE * count)
     levels = met.groupBy("cls", "level").agg(F.sum("n").alias("n")).filter(F.col("n") >= least)
@@ -232,11 +238,12 @@ def search(table: DataFrame, is_query, k: int = 20) -> DataFrame:
     # rank in every chunk of every node on the way
     spread = routes.join(F.broadcast(chunks), ["tree", "first"]).withColumn("chunk", F.explode(F.sequence(F.lit(0), F.col("chunks") - 1)))
     spread = spread.join(heads, "cls").select("tree", "first", "chunk", "second", "cls", "vector")
+    strings = hashed.mapInArrow(_strings(size, kind, longest, TREES, SEED, True), _NODE)
     rows = strings.join(F.broadcast(chunks), ["tree", "first"])
     rows = rows.withColumn("chunk", F.pmod(F.xxhash64("cls"), F.col("chunks")).cast("int"))
     rows = rows.select("tree", "first", "chunk", "second", "cls", "vector")
     place = ["tree", "first", "chunk"]
-    found = rows.groupBy(*place).cogroup(spread.groupBy(*place)).applyInArrow(_ranked(size, k + 1), _FOUND)
+    found = rows.groupBy(*place).cogroup(spread.groupBy(*place)).applyInArrow(_ranked(size, kind, k + 1), _FOUND)
     found = materialize(found.groupBy("query", "cls").agg(F.max("score").alias("score")), "found")
 
     # classes back to ids: a class with the k+1 best scores lasts, whichever of its ids do
