@@ -113,8 +113,8 @@ def without_spans(text: Column, spans: Column) -> Column:
     kept = F.transform(
         words, lambda w, i: F.when(F.exists(spans, lambda s: (s["first"] <= i) & (i < s["last"])), F.lit("")).otherwise(w)
     )
-    pieces = F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get(kept, i), F.lit(""))))
-    return F.array_join(pieces, "")
+    # zipped, so that the words are cut out once and not once a gap
+    return F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
 
 
 #: Documents with hits up to which these are broadcast; beyond it they are joined by shuffle.
@@ -135,9 +135,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 8, most_i
     few = hits.count() <= BROADCAST_HITS
     same = docs["doc_id"].cast("long").eqNullSafe(hits["__id"]) & (F.xxhash64(docs["text"].cast("string")) == hits["__hash"])
     met = docs.join(F.broadcast(hits) if few else hits, same, "left").filter(F.coalesce("__items", F.lit(0)) <= most_items)
-    hit = F.col("__spans").isNotNull()
-    text = F.when(hit, without_spans(docs["text"], F.col("__spans"))).otherwise(docs["text"])
-    columns = {"text": text, "n_chars": F.when(hit, F.length(text).cast("long")).otherwise(docs["n_chars"]) if "n_chars" in docs.columns else None}
+    met = met.withColumn("__left", F.when(F.col("__spans").isNotNull(), without_spans(docs["text"].cast("string"), F.col("__spans"))))
+    columns = {"text": F.coalesce("__left", docs["text"])}
+    if "n_chars" in docs.columns:
+        columns["n_chars"] = F.coalesce(F.length("__left").cast("long"), docs["n_chars"])
     return met.select(*((columns[c] if c in columns else docs[c]).alias(c) for c in docs.columns))
 
 
