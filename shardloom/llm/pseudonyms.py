@@ -304,7 +304,7 @@ def pseudonymize(docs: DataFrame, key: str, undo: bool = False, text_col: str =
 
     staged = docs.withColumn("__found", found).withColumn("__made", F.transform("__found", made))
     gaps = F.split(text, ANY, -1)
-    rebuilt = F.array_join(F.transform(gaps, lambda g, i: F.concat(g, F.coalesce(F.get("__made", i), F.lit("")))), "")
+    rebuilt = F.array_join(F.zip_with(gaps, F.col("__made"), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
     changed = F.when(F.size("__found") > 0, rebuilt).otherwise(text)
     columns = [changed.alias(c) if c == text_col else docs[c] for c in docs.columns]
     if kinds_col:
