@@ -14,8 +14,8 @@ Steps, each ended by a written table:
    candidates of a chunk, so their number is linear in the table's size.
 4. Candidates are confirmed, and links joined to components.
 5. Every group of A that still holds several components is looked through for
-   further pairs: rows of the largest component stay in their chunks and only the
-   others are copied to every chunk. Of these pairs the sketches, and then the 256
+   further pairs: chunks of the rows outside its largest component meet chunks of
+   all its rows, so a block is of bounded size. Of these pairs the sketches, and then the 256
    smallest members of each set, drop those that are unlikely by four standard
    deviations (sets of up to 256 are decided); the rest is confirmed as before.
 
@@ -256,13 +256,16 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(left, right)
 
 
-_REST = "part long, pos int, node long, root long, minor boolean, sketch binary, groups array<long>"
+#: What a row is for in its block: others are compared with it, it is compared with others, or both.
+_RIGHT, _LEFT, _BOTH = 0, 1, 2
+_REST = "part long, pos int, node long, root long, minor boolean, role int, sketch binary, groups array<long>"
 
 
 def _near(rows: dict[str, np.ndarray], i: int) -> np.ndarray:
     """Rows of other components whose sketches agree with row i's, and that meet it in no earlier table."""
     near = (rows["root"] != rows["root"][i]) & ((rows["sketch"] == rows["sketch"][i]).sum(1) >= AGREE)
-    near &= ~rows["minor"] | (rows["node"] > rows["node"][i])
+    # of two rows of minor components only one looks for the other
+    near &= (rows["role"] != _LEFT) & (~rows["minor"] | (rows["node"] > rows["node"][i]))
     at = np.flatnonzero(near)
     earlier = rows["groups"][at][:, : rows["pos"][i]] == rows["groups"][i, : rows["pos"][i]]
     return at[~earlier.any(1)]
@@ -273,7 +276,7 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = [c.split(" ")[0] for c in _REST.split(", ")]
     for rows in _chunks(batches, names):
         flag = np.zeros(len(rows["node"]), bool)
-        for i in np.flatnonzero(rows["minor"]):
+        for i in np.flatnonzero(rows["role"] != _RIGHT):
             near = _near(rows, i)
             flag[near] = True
             flag[i] |= len(near) > 0
@@ -281,7 +284,7 @@ def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         if len(at):
             flat = pa.array(rows["groups"][at].ravel())
             groups = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * 2 * GROUPS, pa.int32()), flat)
-            plain = {n: pa.array(rows[n][at]) for n in ("part", "pos", "node", "root", "minor")}
+            plain = {n: pa.array(rows[n][at]) for n in names[:6]}
             sketch = pa.array([x.tobytes() for x in rows["sketch"][at]], pa.binary())
             yield pa.RecordBatch.from_arrays([*plain.values(), sketch, groups], names=names)
 
@@ -291,9 +294,9 @@ def _across(percent: int):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         left, right, held = [], [], 0
-        for rows in _chunks(batches, ["pos", "node", "root", "minor", "sketch", "groups", "low"]):
+        for rows in _chunks(batches, ["pos", "node", "root", "minor", "role", "sketch", "groups", "low"]):
             low = rows["low"]
-            for i in np.flatnonzero(rows["minor"]):
+            for i in np.flatnonzero(rows["role"] != _RIGHT):
                 near = _near(rows, i)
                 for part in np.array_split(near, len(near) // 4096 + 1):
                     likely = part[_likely(low[i], low[part], percent)] if len(part) else part
@@ -404,14 +407,13 @@ def near_dedup(
         F.max(F.struct("rows", "root")).getField("root").alias("major"),
         F.count(F.lit(1)).alias("roots"),
         F.ceil(F.sum("rows") / CHUNK).cast("long").alias("chunks"),
+        F.ceil((F.sum("rows") - F.max("rows")) / CHUNK).cast("long").alias("minors"),
     )
-    mixed = materialize(counts.filter("roots > 1").select("key", "major", "chunks"), "mixed")
+    mixed = materialize(counts.filter("roots > 1").select("key", "major", "chunks", "minors"), "mixed")
     rest = rows.join(mixed, "key").withColumn("minor", F.col("root") != F.col("major"))
-    own = F.array(F.pmod(F.xxhash64("node", "key"), F.col("chunks")))
-    every = F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)
-    rest = rest.withColumn("chunk", F.explode(F.when(F.col("minor"), every).otherwise(own)))
-    rest = rest.select("node", "pos", "minor", F.xxhash64("key", "chunk").alias("part")).join(labelled, "node")
-    rest = _by_chunk(rest.select("part", "pos", "node", "root", "minor", "sketch", "groups"))
+    rest = rest.select("key", "node", "pos", "minor", F.inline(_blocks()))
+    rest = rest.select("node", "pos", "minor", "role", F.xxhash64("key", "i", "j").alias("part")).join(labelled, "node")
+    rest = _by_chunk(rest.select("part", "pos", "node", "root", "minor", "role", "sketch", "groups"))
     rest = materialize(rest.mapInArrow(_flagged, _REST), "flagged")
     sets = _sets(docs, reps, rest.select("node"), width)
     low = sets.select("node", F.substring("members", 1, 8 * LOW).alias("low"))
@@ -435,6 +437,24 @@ def near_dedup(
     )
 
 
+def _blocks():
+    """(i, j, role) of the blocks a row of a group goes to: chunk i of the minor components' rows meets chunk j of all.
+
+    A group of one chunk is one block with each row in it once.
+    """
+    place = F.xxhash64("node", "key")
+    i, j = F.pmod(place, F.col("minors")), F.pmod(place, F.col("chunks"))
+
+    def block(i, j, role):
+        return F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
+
+    zero = F.lit(0).cast("long")
+    one = F.array(block(zero, zero, F.when(F.col("minor"), F.lit(_BOTH)).otherwise(F.lit(_RIGHT))))
+    right = F.transform(F.sequence(zero, F.col("minors") - 1), lambda k: block(k, j, F.lit(_RIGHT)))
+    left = F.transform(F.sequence(zero, F.col("chunks") - 1), lambda k: block(i, k, F.lit(_LEFT)))
+    return F.when(F.col("chunks") == 1, one).when(F.col("minor"), F.concat(right, left)).otherwise(right)
+
+
 def _by_chunk(rows: DataFrame) -> DataFrame:
     n = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return rows.repartition(n, "part").sortWithinPartitions("part")
@@ -444,3 +464,18 @@ def query(spark, sf_dir: str) -> DataFrame:
     from .store import table
 
     return near_dedup(table(spark, sf_dir, "documents"))
+
+
+ORACLE_SQL = r"""
+WITH RECURSIVE d AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+g AS (
+  SELECT DISTINCT doc_id, array_to_string(list_slice(w, i + 1, i + 5), ' ') AS shingle
+  FROM (SELECT *, unnest(range(greatest(len(w) - 4, 1))) AS i FROM d WHERE len(w) > 0)),
+n AS (SELECT doc_id, count(*) AS n FROM g GROUP BY 1),
+p AS (SELECT a.doc_id AS x, b.doc_id AS y, count(*) AS c FROM g a JOIN g b USING (shingle) WHERE a.doc_id < b.doc_id GROUP BY ALL),
+l AS (SELECT x, y FROM p JOIN n nx ON nx.doc_id = x JOIN n ny ON ny.doc_id = y WHERE 100 * c >= 75 * (nx.n + ny.n - c)),
+e AS (SELECT x, y FROM l UNION ALL SELECT y, x FROM l),
+r AS (SELECT doc_id, doc_id AS reached FROM d UNION SELECT r.doc_id, e.y FROM r JOIN e ON e.x = r.reached)
+SELECT d.doc_id, coalesce(any_value(n), 0) AS n_shingles, min(reached) AS component_id, min(reached) = d.doc_id AS kept
+FROM d JOIN r USING (doc_id) LEFT JOIN n USING (doc_id) GROUP BY d.doc_id"""
