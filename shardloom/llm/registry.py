@@ -19,6 +19,8 @@ QUERIES = {
 
 ORACLE_SQL: dict[str, str] = {
     "op1_warc": warc.ORACLE_SQL,
+    "op3_near_dedup": near_dedup.ORACLE_SQL,
     "op4_decontamination": decontamination.ORACLE_SQL,
+    "op6_substring_dedup": substring_dedup.ORACLE_SQL,
     "op9_mixing": mixing.ORACLE_SQL,
 }

@@ -177,3 +177,17 @@ def query(spark, sf_dir: str) -> DataFrame:
     return substring_dedup(table(spark, sf_dir, "documents"), 13).select(
         "doc_id", "n_words", "n_removed", F.sha2(F.col("kept"), 256).alias("kept_sha256")
     )
+
+
+ORACLE_SQL = r"""
+WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+x AS (
+  SELECT doc_id, i, array_to_string(list_slice(w, i + 1, i + 13), ' ') AS words
+  FROM (SELECT *, unnest(range(greatest(len(w) - 12, 0))) AS i FROM d)),
+f AS (SELECT words, min(doc_id) AS first FROM x GROUP BY 1),
+gone AS (SELECT DISTINCT doc_id, unnest(range(i, i + 13)) AS k FROM x JOIN f USING (words) WHERE first < doc_id),
+kept AS (
+  SELECT doc_id, string_agg(word, ' ' ORDER BY k) AS t FROM (SELECT doc_id, unnest(w) AS word, unnest(range(len(w))) AS k FROM d)
+  ANTI JOIN gone USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, len(w) AS n_words, coalesce(c, 0) AS n_removed, sha256(coalesce(t, '')) AS kept_sha256
+FROM d LEFT JOIN (SELECT doc_id, count(*) AS c FROM gone GROUP BY 1) USING (doc_id) LEFT JOIN kept USING (doc_id)"""
