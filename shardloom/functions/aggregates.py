@@ -82,6 +82,15 @@ def nearest_rank(column: Column, p: float) -> Column:
     return F.get(values, (rank_of(p, F.count(column)) - 1).cast("int"))
 
 
+#: Input, by the planner's estimate, up to which a group's values may be gathered in one place.
+SMALL_BYTES = 32 << 20
+
+
+def is_small(df: DataFrame) -> bool:
+    """Whether all of ``df`` is surely small: the estimate of files and cached tables is an upper bound, others are huge."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes())) <= SMALL_BYTES
+
+
 def approximate(column: Column, p: float, accuracy: int = 10_000) -> Column:
     """Opt-in: bounded state, not exact."""
     return F.percentile_approx(column.cast("double"), F.lit(p), F.lit(accuracy))

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..errors import NotGrouped, TypeMismatch, UnknownColumn
-from ..functions.aggregates import aggregate, percentiles
+from ..functions.aggregates import aggregate, is_small, nearest_rank, percentiles
 from ..functions.predicates import column_of, predicate, quote
 from ..functions.time import time_bucket
 from ..types import Tag, tag_of
@@ -133,9 +133,13 @@ def _aggregated(df: DataFrame, by: dict[Expression, str], slots: dict[Aggregate,
         if e.function == "percentile":
             _number(df, e)
             ranked.setdefault(e.column, []).append((s, e.p))
+    gathered = []
+    if ranked and is_small(df):  # one pass with the other aggregates; beyond that size by ranks over many tasks
+        gathered = [nearest_rank(F.col(quote(c)), p).alias(s) for c, picks in ranked.items() for s, p in picks]
+        ranked = {}
     keys = [(s, _value(e, df)) for e, s in by.items()]
     columns = [aggregate(e.function, None if e.column is None else _argument(df, e)).alias(s) for e, s in plain.items()]
-    columns = columns or [F.count(F.lit(1)).alias("__rows")]
+    columns = columns + gathered or [F.count(F.lit(1)).alias("__rows")]
     out = df.groupBy(*(c.alias(s) for s, c in keys)).agg(*columns) if keys else df.agg(*columns)
     for column, picks in ranked.items():
         found = percentiles(df, keys, F.col(quote(column)), picks)

@@ -37,6 +37,13 @@ def test_query(spark, duck, name):
     assert got == sorted((tuple(plain(r[i]) for i in order) for r in result.fetchall()), key=repr)
 
 
+@pytest.mark.parametrize("name", ["q25_p50", "q28_p99", "q28b_percentile_global"])
+def test_percentiles_by_ranks(spark, duck, name, monkeypatch):
+    """The way of large tables, on a small one."""
+    monkeypatch.setattr("shardloom.functions.aggregates.SMALL_BYTES", 0)
+    test_query(spark, duck, name)
+
+
 def test_ordered_results_keep_their_order(spark):
     rows = [r.n for r in catalogue.QUERIES["q30_top_n"](spark, DIR).collect()]
     assert rows == sorted(rows, reverse=True)

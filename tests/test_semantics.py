@@ -139,12 +139,16 @@ def test_groups_by_name_alias_and_bucket(events):
     assert rows(events.sql("SELECT event FROM events GROUP BY event ORDER BY MAX(value) DESC")) == [("view",), ("click",)]
 
 
-def test_null_group_key(engine):
+@pytest.mark.parametrize("limit", [0, 1 << 60])
+def test_null_group_key(engine, limit, monkeypatch):
+    monkeypatch.setattr("shardloom.functions.aggregates.SMALL_BYTES", limit)
     engine.ingest("t", [{"timestamp": 1, "k": None, "v": 1}, {"timestamp": 2, "k": "a", "v": 2}, {"timestamp": 3, "v": 4}])
     assert rows(engine.sql("SELECT k, COUNT(*) AS n, P50(v) AS p FROM t GROUP BY k ORDER BY k")) == [(None, 2, 4.0), ("a", 1, 2.0)]
 
 
-def test_nothing_to_aggregate(events):
+@pytest.mark.parametrize("limit", [0, 1 << 60])
+def test_nothing_to_aggregate(events, limit, monkeypatch):
+    monkeypatch.setattr("shardloom.functions.aggregates.SMALL_BYTES", limit)
     text = "SELECT COUNT(*) AS n, COUNT(value) AS m, SUM(value) AS s, AVG(value) AS a, MIN(event) AS lo, P95(value) AS p FROM events WHERE value < 0"
     assert rows(events.sql(text)) == [(0, 0, None, None, None, None)]
     assert rows(events.sql("SELECT P95(value) FROM events WHERE value < 0")) == [(None,)]
@@ -185,7 +189,9 @@ def test_percentiles_of_many_values(spark):
     assert df.limit(101).agg(nearest_rank(F.col("v"), 0.9).alias("p")).first().p == nearest([r.v for r in df.limit(101).collect()], 0.9)
 
 
-def test_percentile_of_a_hundred(engine):
+@pytest.mark.parametrize("limit", [0, 1 << 60])
+def test_percentile_of_a_hundred(engine, limit, monkeypatch):
+    monkeypatch.setattr("shardloom.functions.aggregates.SMALL_BYTES", limit)
     engine.ingest("t", [{"timestamp": i, "v": i} for i in range(1, 101)])
     assert rows(engine.sql("SELECT P50(v) AS a, P99(v) AS b, PERCENTILE(v, 0.25) AS c FROM t")) == [(51.0, 99.0, 26.0)]
 
