@@ -41,10 +41,15 @@ def statistics(text: Column) -> dict[str, Column]:
         "distinct": F.size(F.array_distinct("__words")) / words,
         "log_words": F.log1p(F.size("__words").cast("double")),
         "breaks": F.regexp_count(text, F.lit("\n")) / words,
+        "repeats": F.size(F.filter(F.zip_with("__words", F.slice("__words", 2, F.size("__words")), _same), lambda x: x)) / words,
     }
 
 
-NAMES = ("symbols", "capitals", "digits", "stops", "word_length", "distinct", "log_words", "breaks")
+def _same(a: Column, b: Column) -> Column:
+    return F.coalesce(a == b, F.lit(False))
+
+
+NAMES = ("symbols", "capitals", "digits", "stops", "word_length", "distinct", "log_words", "breaks", "repeats")
 
 
 def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
@@ -56,10 +61,11 @@ def with_statistics(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def _cuts(x: np.ndarray) -> list[np.ndarray]:
-    """Candidate cuts of each statistic: middles between neighbouring quantiles."""
+    """Candidate cuts of each statistic: middles between neighbouring quantiles of its rows and of its distinct values."""
     out = []
+    at = np.linspace(0, 1, CUTS + 2)
     for column in x.T:
-        marks = np.unique(np.quantile(column, np.linspace(0, 1, CUTS + 2)))
+        marks = np.unique(np.concatenate([np.quantile(column, at), np.quantile(np.unique(column), at)]))
         out.append((marks[1:] + marks[:-1]) / 2)
     return out
 
