@@ -41,7 +41,7 @@ from pyspark.sql import functions as F
 
 from . import words as W
 from .components import components
-from .store import materialize
+from .store import bound_batches, materialize
 
 GROUPS = 12
 ROWS = 2
@@ -51,6 +51,8 @@ AGREE = HASHES // 2
 #: Smallest members of a set that speak for it before the full sets do.
 LOW = 256
 _NONE = np.iinfo(np.uint64).max
+#: Text handled at once.
+SLICE_BYTES = 2 << 20
 #: Classes compared with each other in one place.
 CHUNK = 1024
 #: Ids up to which a list of wanted documents is broadcast (64 MB); beyond it is joined by shuffle.
@@ -99,7 +101,7 @@ def _sketches(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for a, b in W.slices(texts):
+            for a, b in W.slices(texts, SLICE_BYTES):
                 found, begin = _shingles(texts.slice(a, b - a), width)
                 sizes = np.diff(begin)
                 full = np.flatnonzero(sizes)
@@ -129,6 +131,7 @@ def _sketches(width: int):
                     ],
                     names=["doc_id", "place", "n_shingles", "node", "groups", "sketch"],
                 )
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -137,7 +140,7 @@ def _set_rows(width: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
-            for a, b in W.slices(texts):
+            for a, b in W.slices(texts, SLICE_BYTES):
                 found, begin = _shingles(texts.slice(a, b - a), width)
                 full = np.flatnonzero(np.diff(begin))
                 if len(full):
@@ -146,6 +149,7 @@ def _set_rows(width: int):
                     yield pa.RecordBatch.from_arrays(
                         [pa.array(_nodes(found, at)), pa.array(data, pa.binary())], names=["node", "members"]
                     )
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -298,7 +302,7 @@ def _across(percent: int):
             low = rows["low"]
             for i in np.flatnonzero(rows["role"] != _RIGHT):
                 near = _near(rows, i)
-                for part in np.array_split(near, len(near) // 4096 + 1):
+                for part in np.array_split(near, len(near) // 1024 + 1):
                     likely = part[_likely(low[i], low[part], percent)] if len(part) else part
                     if len(likely):
                         right.append(rows["node"][likely])
@@ -352,6 +356,7 @@ def near_dedup(
     docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
     """Per document: n_shingles, component_id (smallest id of its component) and kept (it has that id)."""
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # by which a text is found again: the id, or a hash of the text where there is none
     docs = docs.withColumn("place", F.coalesce("doc_id", F.xxhash64("text")))
