@@ -139,7 +139,7 @@ def _aggregated(df: DataFrame, by: dict[Expression, str], slots: dict[Aggregate,
         ranked = {}
     keys = [(s, _value(e, df)) for e, s in by.items()]
     columns = [aggregate(e.function, None if e.column is None else _argument(df, e)).alias(s) for e, s in plain.items()]
-    columns = columns + gathered or [F.count(F.lit(1)).alias("__rows")]
+    columns = [*columns, *gathered] or [F.count(F.lit(1)).alias("__rows")]
     out = df.groupBy(*(c.alias(s) for s, c in keys)).agg(*columns) if keys else df.agg(*columns)
     for column, picks in ranked.items():
         found = percentiles(df, keys, F.col(quote(column)), picks)
