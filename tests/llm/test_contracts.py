@@ -103,12 +103,12 @@ def test_quality_on_held_out_rows(spark):
     assert scored.filter("score < 0 or score > 1 or score is null or predicted <> cast(score >= 0.3 as int)").isEmpty()
 
 
-@pytest.mark.parametrize("least", [0, 1 << 20])
-def test_nearest_neighbours(spark, least, monkeypatch):
-    """At the root the search is exact; below it so small a table only gives some of the neighbours."""
-    monkeypatch.setattr(vector_forest, "LEAST_CANDIDATES", least)
-    got = registry.QUERIES["op10_vector_forest"](spark, DIR).toPandas()
-    table = spark.read.parquet(f"{DIR}/embeddings.parquet").toPandas().sort_values("vec_id")
+def neighbours(spark, directory, **options):
+    """What a search finds, held to the exact scores and order; and the share of the true neighbours."""
+    counted = []
+    rows = spark.read.parquet(f"{directory}/embeddings.parquet")
+    got = vector_forest.search(rows, rows["vec_id"] % 20 == 0, 20, counted=counted, **options).toPandas()
+    table = rows.toPandas().sort_values("vec_id")
     x, ids = np.stack(table.embedding.to_numpy()).astype(float), table.vec_id.to_numpy()
     found = []
     for q in ids[ids % 20 == 0]:
@@ -116,11 +116,38 @@ def test_nearest_neighbours(spark, least, monkeypatch):
         scores[ids == q] = -np.inf
         best = ids[np.lexsort((ids, -scores))][:20]
         mine = got[got.query_id == q].sort_values("rank")
-        assert list(mine["rank"]) == list(range(1, len(mine) + 1))
+        assert list(mine["rank"]) == list(range(1, 21))
         assert np.allclose(mine.score, scores[np.searchsorted(ids, mine.vec_id)], atol=1e-12)
         assert list(mine.vec_id) == [v for _, v in sorted(zip(-mine.score, mine.vec_id, strict=True))]
         found.append(len({*best} & {*mine.vec_id}) / 20)
-    assert np.mean(found) == 1 if least else np.mean(found) > 0.5
+    levels = counted[0].toPandas()
+    assert len(levels) == (ids % 20 == 0).sum()
+    return np.mean(found), levels.counted.mean() / len(ids), levels.level.isna().sum()
+
+
+def test_nearest_neighbours(spark):
+    """The forest finds nine neighbours of ten among a tenth of the rows; none of the queries sees all rows."""
+    recall, share, root = neighbours(spark, "/root/testdata/sf0.1")
+    assert recall >= 0.9 and share < 0.1 and root == 0
+
+
+def test_nearest_neighbours_of_nodes_named_by_two_characters(spark):
+    recall, _, root = neighbours(spark, "/root/testdata/sf0.1", node_rows=8)
+    assert recall >= 0.88 and root == 0
+
+
+def test_nearest_neighbours_in_many_arrays(spark, monkeypatch):
+    """Arrays of 100 rows, large nodes cut to slices: the same rows are met."""
+    whole = neighbours(spark, DIR)
+    monkeypatch.setattr(vector_forest, "ARRAY_ROWS", 100)
+    assert neighbours(spark, DIR) == whole
+
+
+def test_nearest_neighbours_at_the_root(spark, monkeypatch):
+    """Queries that meet too few strings see every row."""
+    monkeypatch.setattr(vector_forest, "CANDIDATES", 10**6)
+    recall, _, root = neighbours(spark, DIR)
+    assert recall == 1 and root == 25
 
 
 def test_warc_of_equal_and_empty_payloads(spark, tmp_path):
