@@ -4,6 +4,7 @@ import itertools
 import random
 import re
 
+import numpy as np
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -85,7 +86,11 @@ def test_permutation_is_a_bijection(spark):
     assert {r.d for r in strings.collect()} == {f"{i:03}" for i in range(1000)}
 
 
-ODD = ["", "a  b", "it's  <|endoftext|> x\n\n\ny", "é \u0085x", "x" * 1500, " " * 1500 + "a", "\n\t " * 400, "日本語 テスト 🎉🎉", "I'll we're 'r 'd<|endoftext|><|endoftext", "１２３ ² ½", "a\n\n b\n\n\n"]
+ODD = [
+    "", "a  b", "it's  <|endoftext|> x\n\n\ny", "é \u0085x", "x" * 1500, " " * 1500 + "a", "\n\t " * 400, "日本語 テスト 🎉🎉", "１２３ ² ½ ٣",
+    "I'll we're 'r 'd<|endoftext|><|endoftext", "a\n\n b\n\n\n", "a\u3000\u3000b \u2028\u2028 c", "\u058ba\u058b \u058b", "x\x1c\x1dy  \x1c", "we'red you've 've  're_'s",
+    "!<|endoftext|>!  <|endoftext|>", "a_ _b __", "ab" * 200,
+]
 
 
 @pytest.fixture(scope="module")
@@ -98,30 +103,51 @@ def tokenizer():
     return Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
 
 
-def test_steps(counter, tokenizer):
+def length(tokenizer, text):
+    return len(tokenizer.encode(text, add_special_tokens=False).ids)
+
+
+def test_tables_of_odd_texts(counter, tokenizer):
+    rng = random.Random(1)
     for text in ODD:
-        steps = counter.steps(text)
-        assert len(steps) == len(tokenizer.encode(text, add_special_tokens=False).ids)
-        assert sum(steps) == len(text.encode())
+        width, steps = token_counts.packed(counter.table(text))
+        found = token_counts.counts(steps, width)
+        assert len(found) == len(text)
+        for end in range(1, len(text) + 1) if len(text) < 100 else [rng.randint(1, len(text)) for _ in range(50)]:
+            assert found[end - 1] == length(tokenizer, text[:end]) == token_counts.tokens_at(steps, end, width)
 
 
-def test_tokens_of_prefixes(spark, counter, tokenizer, tables):
+def test_tables_of_documents(spark, tokenizer):
+    """The tables the query is made from: every prefix of short texts, some of each long one, and the whole text."""
     rng = random.Random(1)
-    texts = [r.text for r in spark.read.parquet(f"{tables}/documents.parquet").limit(40).collect()] + [t for t in ODD if len(t) < 100]
-    for text in texts:
-        steps = counter.steps(text)
-        ends = range(len(text) + 1) if len(text) < 60 else [rng.randint(0, len(text)) for _ in range(20)]
-        for end in ends:
-            assert counter.tokens_at(text, steps, end) == len(tokenizer.encode(text[:end], add_special_tokens=False).ids)
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
+    texts = {r.doc_id: r.text or "" for r in docs.collect()}
+    for r in token_counts.prefix_counts(docs, public_tokenizers.path("byte_bpe_50k.json")).collect():
+        text, found = texts[r.doc_id], token_counts.counts(r.steps, r.width)
+        assert len(found) == len(text) and r.n_tokens == (found[-1] if text else 0)
+        ends = range(1, len(text) + 1) if len(text) < 150 else [rng.randint(1, len(text)) for _ in range(4)] + [len(text)]
+        assert all(found[e - 1] == length(tokenizer, text[:e]) for e in ends)
 
 
 def test_truncation(spark, counter, tokenizer, tables):
-    for text in [r.text for r in spark.read.parquet(f"{tables}/documents.parquet").limit(20).collect()] + ["日本語 テスト 🎉🎉"]:
-        steps = counter.steps(text)
-        for budget in (0, 1, 2, 5, 50, len(steps), len(steps) + 1):
-            cut = counter.truncate(text, steps, budget)
-            assert text.startswith(cut) and (cut == text or budget < len(steps))
-            assert len(tokenizer.encode(cut, add_special_tokens=False).ids) <= budget
+    for text in [r.text for r in spark.read.parquet(f"{tables}/documents.parquet").limit(20).collect()] + ODD[7:]:
+        width, steps = token_counts.packed(counter.table(text))
+        total = token_counts.tokens_at(steps, len(text), width)
+        for budget in (0, 1, 2, 5, 50, total, total + 1):
+            end = token_counts.fitting(steps, budget, width)
+            assert length(tokenizer, text[:end]) <= budget and (end == len(text) or budget < total)
+            later = range(end + 1, len(text) + 1) if len(text) < 100 else range(end + 1, min(end + 20, len(text) + 1))
+            assert all(length(tokenizer, text[:e]) > budget for e in later)
+
+
+def test_characters_are_classed_as_the_library_does(counter):
+    text = "".join(map(chr, [*range(0x2000), 0xA7CE, 0x1C89, 0x10D40, 0x3FC3F]))
+    assert counter._cut(text) == [text[a:b] for _, (a, b) in counter.cutter.pre_tokenize_str(text)]
+
+
+def test_wide_tables(counter):
+    steps = np.array([1, 300, -299])
+    assert token_counts.packed(steps)[0] == 4 and list(token_counts.counts(token_counts.packed(steps)[1], 4)) == [1, 301, 2]
 
 
 def cheapest(roles):
