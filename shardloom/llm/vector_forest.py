@@ -49,7 +49,7 @@ CANDIDATES, GROWTH = 8, 0.4
 #: Rows of a node, on average, beyond which strings are told apart by one more character.
 NODE_ROWS = 1024
 #: Rows in one sorted array.
-ARRAY_ROWS = 4096
+ARRAY_ROWS = 32_768
 LEVELS = 64
 #: Characters that are matched before the first look at whether a prefix can still reach its level.
 HEAD = 6
@@ -57,9 +57,9 @@ SEED = 5
 #: Nodes up to which a table of them is broadcast (under 64 MB).
 BROADCAST_NODES = 1_000_000
 
-_STRING = "tree int, node long, cls long, string binary, norm double, vector binary"
+_STRING = "tree int, node long, cls long, id long, string binary, norm double, vector binary"
 _DESCENT = "tree int, node long, cls long, floor double"
-_FOUND = "query long, cls long, score double"
+_FOUND = "query long, cls long, id long, score double"
 
 
 def _rotation(size: int, tree: int) -> np.ndarray:
@@ -119,11 +119,12 @@ def _strings(size: int, kind: str, depth: int):
                         pa.array(np.full(len(x), tree), pa.int32()),
                         pa.array(_name(characters[:, :depth], size)),
                         batch.column("cls"),
+                        batch.column("id"),
                         pa.array([s.tobytes() for s in strings], pa.binary()),
                         batch.column("norm"),
                         batch.column("vector"),
                     ],
-                    names=["tree", "node", "cls", "string", "norm", "vector"],
+                    names=["tree", "node", "cls", "id", "string", "norm", "vector"],
                 )
 
     return run
@@ -243,13 +244,13 @@ def _met(size: int, kind: str, depth: int, longest: float):
     return run
 
 
-def _best(owners: np.ndarray, classes: np.ndarray, scores: np.ndarray, count: int) -> pa.Table:
-    """The ``count`` best of each owner's rows."""
-    order = np.lexsort((classes, -scores, owners))
-    owners, classes, scores = owners[order], classes[order], scores[order]
-    first = np.searchsorted(owners, owners, side="left")
-    keep = np.arange(len(owners)) - first < count
-    return pa.table({"query": pa.array(owners[keep], pa.int64()), "cls": pa.array(classes[keep], pa.int64()), "score": pa.array(scores[keep], pa.float64())})
+def _best(owners: np.ndarray, rows: np.ndarray, scores: np.ndarray, classes: np.ndarray, ids: np.ndarray, count: int) -> pa.Table:
+    """The ``count`` best of each owner's rows; ``classes``, ``ids``: of all rows."""
+    order = np.lexsort((ids[rows], -scores, owners))
+    owners, rows, scores = owners[order], rows[order], scores[order]
+    keep = np.arange(len(owners)) - np.searchsorted(owners, owners, side="left") < count
+    columns = {"query": owners[keep], "cls": classes[rows[keep]], "id": ids[rows[keep]]}
+    return pa.table({n: pa.array(c, pa.int64()) for n, c in columns.items()} | {"score": pa.array(scores[keep], pa.float64())})
 
 
 def _ranked(size: int, kind: str, depth: int, longest: float, count: int):
@@ -257,15 +258,16 @@ def _ranked(size: int, kind: str, depth: int, longest: float, count: int):
 
     def run(key, rows, queries):
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        cls, ids = (rows.column(c).to_numpy() for c in ("cls", "id"))
         if rows.num_rows and queries.num_rows:
             array = _Array(rows, size, depth, longest)
-            cls = rows.column("cls").to_numpy()[array.order]
-            vectors = _matrix(rows.column("vector"), size, kind)[array.order]
+            vectors = _matrix(rows.column("vector"), size, kind)
             x, owners = _matrix(queries.column("vector"), size, kind), queries.column("cls").to_numpy()
             floors, levels = queries.column("floor").to_numpy(), queries.column("level").to_numpy()
             for i, row, _ in array.meet(x, _rotation(size, key[0].as_py()), floors, levels):
-                parts.append((owners[i], cls[row], (x[i] * vectors[row]).sum(axis=1)))
-        return _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), count)
+                row = array.order[row]
+                parts.append((owners[i], row, (x[i] * vectors[row]).sum(axis=1)))
+        return _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), cls, ids, count)
 
     return run
 
@@ -275,13 +277,14 @@ def _scored(size: int, kind: str, count: int):
 
     def run(key, rows, queries):
         parts = [(np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0))]
+        cls, ids = (rows.column(c).to_numpy() for c in ("cls", "id"))
         if rows.num_rows and queries.num_rows:
-            cls, vectors = rows.column("cls").to_numpy(), _matrix(rows.column("vector"), size, kind)
+            vectors = _matrix(rows.column("vector"), size, kind)
             for owner, x in zip(queries.column("cls").to_numpy(), _matrix(queries.column("vector"), size, kind), strict=True):
                 score = (vectors * x).sum(axis=1)
-                best = np.argsort(-score, kind="stable")[:count]
-                parts.append((np.full(len(best), owner), cls[best], score[best]))
-        return _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), count)
+                best = np.lexsort((ids, -score))[:count]
+                parts.append((np.full(len(best), owner), best, score[best]))
+        return _best(*(np.concatenate(c) for c in zip(*parts, strict=True)), cls, ids, count)
 
     return run
 
@@ -370,12 +373,12 @@ def search(table: DataFrame, is_query: Column, k: int = 20, node_rows: int = NOD
     # the forest: sorted arrays of bounded size
     depth, arrays = depth_of(count, size, node_rows), max(1, -(-count // ARRAY_ROWS))
     parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), -(-TREES * arrays // 16))
-    strings = materialize(index.select("cls", "vector", "norm").mapInArrow(_strings(size, kind, depth), _STRING), "strings")
+    strings = materialize(index.select("cls", F.get("ids", F.lit(0)).alias("id"), "vector", "norm").mapInArrow(_strings(size, kind, depth), _STRING), "strings")
     nodes = strings.groupBy("tree", "node").agg(F.ceil(F.count(F.lit(1)) / ARRAY_ROWS).cast("int").alias("slices"))
     big = materialize(nodes.filter("slices > 1"), "big")
     place = ["tree", "place"]
     one = F.array(F.pmod(F.xxhash64("cls"), F.col("slices")).cast("int"))
-    forest = _placed(strings, big, arrays, one).select(*place, "string", "cls", "norm", "vector")
+    forest = _placed(strings, big, arrays, one).select(*place, "string", "cls", "id", "norm", "vector")
     forest = materialize(forest.repartition(parts, *place).sortWithinPartitions(*place, "string"), "forest")
 
     # descend every tree, and ascend all together
@@ -398,17 +401,15 @@ def search(table: DataFrame, is_query: Column, k: int = 20, node_rows: int = NOD
     # queries without enough strings ascend to the root: in blocks, they see every row
     alone = materialize(heads.join(levels.filter("level is not null"), "cls", "left_anti"), "alone")
     if not alone.isEmpty():
-        blocks = index.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(arrays)).cast("int")).select("block", "cls", "vector")
+        blocks = index.withColumn("block", F.pmod(F.xxhash64("cls"), F.lit(arrays)).cast("int")).select("block", "cls", F.get("ids", F.lit(0)).alias("id"), "vector")
         everywhere = alone.select("cls", "vector", F.explode(F.sequence(F.lit(0), F.lit(arrays - 1))).alias("block"))
         both = blocks.repartition(parts, "block").groupBy("block").cogroup(everywhere.repartition(parts, "block").groupBy("block"))
         found = found.union(both.applyInArrow(_scored(size, kind, k + 1), _FOUND))
-    found = materialize(found.groupBy("query", "cls").agg(F.max("score").alias("score")), "found")
-
-    # classes back to ids: a class with the k+1 best scores lasts, whichever of its ids do
-    ids = index.select("cls", "ids")
-    found = found.join(ids, "cls").withColumn("id", F.get("ids", F.lit(0)))
+    # a class with the k+1 best scores lasts, whichever of its ids do; only then it gets its ids back
+    found = found.groupBy("query", "cls", "id").agg(F.max("score").alias("score"))
     best = Win.partitionBy("query").orderBy(F.col("score").desc(), "id")
-    found = found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1)
+    found = materialize(found.withColumn("at", F.row_number().over(best)).filter(F.col("at") <= k + 1), "found")
+    found = found.join(index.select("cls", "ids"), "cls")
     pairs = F.transform("ids", lambda i: F.struct((-F.col("score")).alias("less"), i.alias("vec_id")))
     lists = found.groupBy("query").agg(F.flatten(F.collect_list(pairs)).alias("all"))
     lists = materialize(lists, "lists")
