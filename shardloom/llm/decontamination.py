@@ -1,13 +1,15 @@
 """Benchmark decontamination with a broadcast set of test n-grams.
 
-Word windows of every benchmark item form a small table (hash, item ids), with a
-second hash by which each hit is verified. It is broadcast while its counted rows
-stay under a bound, and joined by shuffle beyond it. Every window of every
-document is looked up; a document's hits meet again in one row by its id. All of
-it is DataFrame functions.
+Word windows of every benchmark item form a table of n-grams; their hashes alone are
+broadcast while their counted rows stay under a bound, and joined by shuffle beyond it.
+Every window of every document is looked up. The documents with hits, few, are read once
+more, and each hit is held to the words of the n-gram itself; only then the items that
+have the n-gram are added. All of it is DataFrame functions.
 
 Defined results: null and empty text have no words; items without words and null
-item ids are never hit; rows that share an id and a text are one document; an
+item ids are never hit; repeated rows each get a row; texts of any length are looked
+through whole, in one row's memory, with work in proportion to their words; columns
+besides the id and the text are carried along unread, whatever they are called; an
 empty table gives an empty result, and an empty benchmark hits nothing.
 """
 
@@ -16,109 +18,134 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Windows up to which the benchmark is broadcast (about 200 MB).
+from .store import materialize
+
+#: N-grams, 16 bytes each, up to which the benchmark's hashes are broadcast.
 BROADCAST_WINDOWS = 2_000_000
+#: Bytes up to which tables of documents with hits are broadcast; beyond it they are joined by shuffle.
+BROADCAST_BYTES = 64 << 20
 _UPPER, _LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 _GAP = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: The same words before lower-casing.
 _WORD = r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+"
 
 
-def word_hashes(text: Column) -> Column:
-    """A hash of each word of a text."""
-    words = F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP)
-    return F.transform(F.filter(words, lambda w: w != ""), lambda w: F.xxhash64(w))
+def words_of(text: Column) -> Column:
+    """The lower-case words of a text."""
+    return F.filter(F.split(F.translate(F.coalesce(text, F.lit("")), _UPPER, _LOWER), _GAP), lambda w: w != "")
 
 
-def _windows(hashes: Column, size: Column, length: int) -> Column:
-    """(pos, hash, proof) of every window of ``length`` words."""
-    starts = F.when(size >= length, F.sequence(F.lit(0), size - length)).otherwise(F.array().cast("array<int>"))
+def n_words(text: Column) -> Column:
+    return F.coalesce(F.regexp_count(text, F.lit(_WORD)), F.lit(0)).cast("long")
 
-    def window(i):
-        part = F.slice(hashes, i + 1, length)
-        return F.struct(
-            i.alias("pos"),
-            F.lit(length).alias("length"),
-            F.xxhash64(part).alias("hash"),
-            F.xxhash64(F.lit("proof"), part).alias("proof"),
-        )
 
-    return F.transform(starts, window)
+def _starts(size: Column, length: int) -> Column:
+    return F.when(size >= length, F.sequence(F.lit(0), size - length)).otherwise(F.array().cast("array<int>"))
 
 
-def benchmark_windows(benchmark: DataFrame, length: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
-    """(length, hash, proof, items): an item of fewer words is one window of all of them."""
-    words = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).alias("item"), word_hashes(F.col(text_col)).alias("h"))
-    words = words.withColumn("size", F.size("h")).filter("size > 0")
-    whole = F.array(
-        F.struct(F.lit(0).alias("pos"), F.col("size").alias("length"), F.xxhash64("h").alias("hash"), F.xxhash64(F.lit("proof"), F.col("h")).alias("proof"))
-    )
-    found = F.when(F.col("size") >= length, _windows(F.col("h"), F.col("size"), length)).otherwise(whole)
-    rows = words.select("item", F.inline(found))
-    return rows.groupBy("length", "hash", "proof").agg(F.collect_set("item").alias("items"))
+def ngrams(benchmark: DataFrame, length: int, item_col: str = "item_id", text_col: str = "text") -> DataFrame:
+    """(length, hash, gram, item): an item of fewer words is one n-gram of all of them."""
+    items = benchmark.filter(F.col(item_col).isNotNull()).select(F.col(item_col).cast("string").alias("item"), words_of(F.col(text_col).cast("string")).alias("w"))
+    items = items.withColumn("size", F.size("w")).filter("size > 0")
+    found = F.when(F.col("size") >= length, F.transform(_starts(F.col("size"), length), lambda i: F.slice("w", i + 1, length))).otherwise(F.array("w"))
+    each = items.select("item", F.explode(found).alias("g"))
+    hashed = F.xxhash64(F.transform("g", lambda w: F.xxhash64(w)))
+    return each.select(F.size("g").alias("length"), hashed.alias("hash"), F.array_join("g", " ").alias("gram"), "item").distinct()
+
+
+def _small(table: DataFrame, size: Column) -> DataFrame:
+    """``table``, to be broadcast if the sum of ``size`` over its rows allows."""
+    total = table.agg(F.sum(size)).first()[0] or 0
+    return F.broadcast(table) if total <= BROADCAST_BYTES else table
+
+
+def _hits(rows: DataFrame, benchmark: DataFrame, length: int) -> DataFrame:
+    """(id, hash, spans, items) of the texts with verified hits. ``rows``: id, hash, text."""
+    grams = materialize(ngrams(benchmark, length), "ngrams")
+    keys = grams.select("length", F.col("hash").alias("key")).distinct()
+    lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # at most `length` numbers
+    keys = F.broadcast(keys) if keys.count() <= BROADCAST_WINDOWS else keys
+
+    # every window of every document
+    hashes = rows.select("id", "hash", F.transform(words_of(F.col("text")), lambda w: F.xxhash64(w)).alias("h"))
+
+    def windows(n: int) -> Column:
+        return F.transform(
+            _starts(F.size("h"), n), lambda i: F.struct(i.alias("pos"), F.lit(n).alias("length"), F.xxhash64(F.slice("h", i + 1, n)).alias("key"))
+        )
+
+    every = F.concat(*map(windows, lengths)) if lengths else F.expr("cast(array() as array<struct<pos:int,length:int,key:bigint>>)")
+    met = hashes.select("id", "hash", F.inline(every)).join(keys, ["length", "key"])
+    met = met.groupBy("id", "hash").agg(F.collect_set(F.struct("pos", "length")).alias("met"))
+    met = materialize(met, "met")
+
+    # hits are held to the words
+    wanted = _small(met, F.size("met") * 16 + 32).select(F.col("id").alias("i"), F.col("hash").alias("x"), "met")
+    same = F.col("id").eqNullSafe(F.col("i")) & F.col("hash").eqNullSafe(F.col("x"))
+    texts = rows.join(wanted, same).select("id", "hash", "met", words_of(F.col("text")).alias("w")).dropDuplicates(["id", "hash"])
+    read = F.transform("met", lambda m: F.struct(m["pos"].alias("pos"), m["length"].alias("length"), F.array_join(F.slice("w", m["pos"] + 1, m["length"]), " ").alias("gram")))
+    each = materialize(texts.select("id", "hash", F.inline(read)), "read")
+    known = grams.select("length", "gram").distinct()
+    hits = each.join(known, ["length", "gram"], "left_semi")
+    owners = grams.select("length", "gram", "item")
+    items = hits.select("id", "hash", "length", "gram").distinct().join(owners, ["length", "gram"]).groupBy("id", "hash")
+    items = items.agg(F.array_sort(F.collect_set("item")).alias("items"))
+    covered = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)))))
+    spans = hits.groupBy("id", "hash").agg(covered.alias("at")).select("id", "hash", _runs("at").alias("spans"))
+    spans = spans.select(F.col("id").alias("i"), F.col("hash").alias("x"), "spans")
+    return items.join(spans, same).select("id", "hash", "spans", "items")
+
+
+def _runs(name: str) -> Column:
+    """Runs [first, last) of the ascending numbers of an array column."""
+    at = F.col(name)
+    first = F.filter(at, lambda p, k: (k == 0) | (F.get(at, k - 1) != p - 1))
+    last = F.filter(at, lambda p, k: (k == F.size(at) - 1) | (F.get(at, k + 1) != p + 1))
+    return F.zip_with(first, last, lambda a, b: F.struct(a.alias("first"), (b + 1).alias("last")))
+
+
+def _marked(docs: DataFrame, benchmark: DataFrame, length: int, id_col: str, text_col: str) -> DataFrame:
+    """(row, id, text, spans, items): all rows of ``docs``, with nulls where nothing is hit."""
+    text = F.col(text_col).cast("string")
+    rows = docs.select(F.struct(*(docs[c] for c in docs.columns)).alias("row"), docs[id_col].cast("long").alias("id"), text.alias("text"))
+    rows = rows.withColumn("hash", F.xxhash64("text"))
+    hits = materialize(_hits(rows.select("id", "hash", "text"), benchmark, length), "hits")
+    hits = _small(hits, F.size("spans") * 8 + F.length(F.array_join("items", "   ")) + 32)
+    hits = hits.select(F.col("id").alias("i"), F.col("hash").alias("x"), "spans", "items")
+    return rows.join(hits, F.col("id").eqNullSafe(F.col("i")) & (F.col("hash") == F.col("x")), "left").select("row", "id", "text", "spans", "items")
 
 
 def find_hits(
     docs: DataFrame, benchmark: DataFrame, length: int = 8, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per document: doc_id, text_hash, n_words, n_hit, spans (hit word runs [first, last)), items (ids as strings, sorted)."""
-    from .store import materialize
-
-    grams = materialize(benchmark_windows(benchmark, length), "ngrams")
-    lengths = sorted(r[0] for r in grams.select("length").distinct().collect())  # at most `length` numbers
-    small = grams.count() <= BROADCAST_WINDOWS
-    grams = grams.select("length", "hash", "proof", "items")
-    words = docs.select(
-        F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text")
-    ).select("doc_id", F.xxhash64("text").alias("text_hash"), word_hashes(F.col("text")).alias("h"))
-    words = words.withColumn("size", F.size("h"))
-    none = F.lit(None).cast("long")
-    total = F.array(F.struct(F.lit(-1).alias("pos"), F.col("size").alias("length"), none.alias("hash"), none.alias("proof")))
-    windows = F.concat(total, *(_windows(F.col("h"), F.col("size"), n) for n in lengths))
-    rows = words.select("doc_id", "text_hash", F.inline(windows))
-    met = rows.join(F.broadcast(grams) if small else grams, ["length", "hash", "proof"], "left")
-    met = met.filter("pos = -1 or items is not null")
-    hit = F.when(F.col("pos") >= 0, F.struct(F.col("pos"), (F.col("pos") + F.col("length")).alias("end")))
-    by_doc = met.groupBy("doc_id", "text_hash").agg(
-        F.max(F.when(F.col("pos") == -1, F.col("length"))).cast("long").alias("n_words"),
-        F.collect_set(hit).alias("hits"),
-        F.collect_set("items").alias("items"),
-    )
-    items = F.array_sort(F.transform(F.array_distinct(F.flatten("items")), lambda x: x.cast("string")))
-    spans = F.aggregate(
-        F.array_sort("hits"),
-        F.array().cast("array<struct<first:int,last:int>>"),
-        lambda done, h: F.when(
-            (F.size(done) > 0) & (F.element_at(done, -1)["last"] >= h["pos"]),
-            F.concat(
-                F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))),
-                F.array(
-                    F.struct(
-                        F.element_at(done, -1)["first"].alias("first"),
-                        F.greatest(F.element_at(done, -1)["last"], h["end"]).alias("last"),
-                    )
-                ),
-            ),
-        ).otherwise(F.concat(done, F.array(F.struct(h["pos"].alias("first"), h["end"].alias("last"))))),
-    )
-    found = by_doc.select("doc_id", "text_hash", "n_words", spans.alias("spans"), items.alias("items"))
+    """Per row: doc_id, n_words, n_hit, spans (hit word runs [first, last)), items (ids as strings, sorted)."""
+    met = _marked(docs.select(id_col, text_col), benchmark, length, id_col, text_col)
     n_hit = F.aggregate("spans", F.lit(0).cast("long"), lambda n, s: n + s["last"] - s["first"])
-    return found.select("doc_id", "text_hash", "n_words", n_hit.alias("n_hit"), "spans", "items")
+    return met.select(
+        F.col("id").alias("doc_id"),
+        n_words(F.col("text")).alias("n_words"),
+        F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"),
+        F.coalesce("spans", F.expr("cast(array() as array<struct<first:int,last:int>>)")).alias("spans"),
+        F.coalesce("items", F.array().cast("array<string>")).alias("items"),
+    )
 
 
 def without_spans(text: Column, spans: Column) -> Column:
-    """The text without the words of ``spans``; what stood between words stays."""
+    """The text without the words of ``spans`` (ascending); what stood between words stays."""
     words = F.regexp_extract_all(text, F.lit(f"({_WORD})"), 1)
-    gaps = F.split(text, _WORD, -1)
-    kept = F.transform(
-        words, lambda w, i: F.when(F.exists(spans, lambda s: (s["first"] <= i) & (i < s["last"])), F.lit("")).otherwise(w)
-    )
-    # zipped, so that the words are cut out once and not once a gap
-    return F.array_join(F.zip_with(gaps, kept, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))), "")
 
+    def cut(gaps: Column, both: Column) -> Column:
+        def part(k: Column) -> Column:
+            before = F.coalesce(F.get(spans, k - 1)["last"], F.lit(0))
+            first = F.coalesce(F.get(spans, k)["first"], F.size(both))
+            last = F.coalesce(F.get(spans, k)["last"], F.size(both))
+            return F.concat(F.slice(both, before + 1, first - before), F.slice(gaps, first + 1, last - first))
+
+        return F.array_join(F.flatten(F.transform(F.sequence(F.lit(0), F.size(spans)), part)), "")
 
-#: Documents with hits up to which these are broadcast; beyond it they are joined by shuffle.
-BROADCAST_HITS = 1_000_000
+    # gaps, and gaps with the word behind each, are made once
+    made = F.transform(F.array(F.split(text, _WORD, -1)), lambda gaps: F.struct(gaps.alias("g"), F.zip_with(gaps, words, lambda g, w: F.concat(g, F.coalesce(w, F.lit("")))).alias("b")))
+    return F.get(F.transform(made, lambda m: cut(m["g"], m["b"])), F.lit(0))
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 8, most_items: int = 1) -> DataFrame:
@@ -126,20 +153,15 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, length: int = 8, most_i
 
     ``docs``: doc_id, text and any other columns; n_chars, if there, follows the text.
     """
-    from .store import materialize
-
-    hits = find_hits(docs, benchmark, length).filter("n_hit > 0").select(
-        F.col("doc_id").alias("__id"), F.col("text_hash").alias("__hash"), F.col("spans").alias("__spans"), F.size("items").alias("__items")
-    )
-    hits = materialize(hits, "hits")
-    few = hits.count() <= BROADCAST_HITS
-    same = docs["doc_id"].cast("long").eqNullSafe(hits["__id"]) & (F.xxhash64(docs["text"].cast("string")) == hits["__hash"])
-    met = docs.join(F.broadcast(hits) if few else hits, same, "left").filter(F.coalesce("__items", F.lit(0)) <= most_items)
-    met = met.withColumn("__left", F.when(F.col("__spans").isNotNull(), without_spans(docs["text"].cast("string"), F.col("__spans"))))
-    columns = {"text": F.coalesce("__left", docs["text"])}
+    met = _marked(docs, benchmark, length, "doc_id", "text")
+    met = met.filter(F.coalesce(F.size("items"), F.lit(0)) <= most_items)
+    left = F.when(F.col("spans").isNotNull(), without_spans(F.col("text"), F.col("spans")))
+    met = met.select("row", left.alias("left"))
+    columns = {c: F.col("row").getField(c) for c in docs.columns}
+    columns["text"] = F.coalesce("left", columns["text"])
     if "n_chars" in docs.columns:
-        columns["n_chars"] = F.coalesce(F.length("__left").cast("long"), docs["n_chars"])
-    return met.select(*((columns[c] if c in columns else docs[c]).alias(c) for c in docs.columns))
+        columns["n_chars"] = F.coalesce(F.length("left").cast("long"), columns["n_chars"])
+    return met.select(*(v.alias(c) for c, v in columns.items()))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
