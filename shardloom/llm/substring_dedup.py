@@ -1,17 +1,21 @@
 """Removal of token windows that repeat across documents.
 
-Every fixed-length window gets a Rabin-Karp hash. Documents are dealt to blocks
-by id; each block sends one entry per distinct hash (the hash and the smallest
-document id that has it there) to the bucket that owns the hash. A hot window
+Every fixed-length window gets a Rabin-Karp hash. Rows are dealt evenly to blocks,
+whatever their ids; each block sends one entry per distinct hash (the hash and the
+smallest document id that has it there) to the bucket that owns the hash. A hot window
 is thus one entry per block slice however many documents hold it. The bucket
 answers only those blocks that hold the window in a later document than the
 first one of all, and the block merges the repeated windows of each of its
-documents into maximal removal intervals. Two texts count as equal where their
-64-bit window hashes are.
+documents into maximal removal intervals. Blocks and buckets grow in number with the
+text, and both exchanges have a partition for each; a block's entries for a bucket
+travel as one row, so there are at most as many rows as windows. Two texts count as
+equal where their 64-bit window hashes are.
 
 Defined results: null and empty text have no words; a null id counts as larger
 than every other; rows that share an id are one document for the question
-which is first, and each gets its own row; an empty table gives an empty result.
+which is first, and each gets its own row; a text of any length is handled whole,
+alone in memory where it is longer than a slice; columns besides the id and the text
+are not looked at, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -25,6 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words as W
+from .store import bound_batches
 
 #: Bytes of text in a block, which one task holds at a time.
 BLOCK_BYTES = 8 << 20
@@ -162,12 +167,14 @@ def substring_dedup(docs: DataFrame, width: int = 13, id_col: str = "doc_id", te
 
     A word goes if a window of ``width`` words that covers it also starts in a document with a smaller id.
     """
+    bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     total = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     n = int(max(int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // BLOCK_BYTES)))
-    blocks = docs.withColumn("block", F.pmod(F.xxhash64("doc_id"), F.lit(n)).cast("int")).repartition(n, "block")
-    requests = blocks.mapInArrow(_requests(width, n), _REQUEST)
-    replies = requests.groupBy("bucket").applyInArrow(_replies, _REPLY)
+    block = F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(n)).cast("int")
+    blocks = docs.withColumn("block", block).repartition(n, "block")
+    requests = blocks.mapInArrow(_requests(width, n), _REQUEST).repartition(n, "bucket")
+    replies = requests.groupBy("bucket").applyInArrow(_replies, _REPLY).repartition(n, "block")
     return blocks.groupBy("block").cogroup(replies.groupBy("block")).applyInArrow(_finish(width), _RESULT)
 
 
