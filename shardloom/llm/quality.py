@@ -4,13 +4,15 @@ Statistics of a text are Spark columns. Small trees, each grown on a resampling
 the labelled rows, give their paths as conjunctive rules over the statistics; a
 logistic fit with an L1 penalty keeps few of them; and the kept rules with their
 weights are one Spark column again, so scoring is a projection over any number of
-documents. Only the fit sees a bounded sample, on the driver.
+documents, in one pass over them. Only the fit sees a bounded sample, on the driver:
+``MAX_TRAIN`` labelled rows, of which each tree draws ``TREE_ROWS``.
 
 Defined results: null and empty text have the statistics 0 and are scored by them;
 labels that are null or have no document are not used; a document with several
 labels counts with each; without labels of both kinds the score is the share of
-label 1 (0.5 without any); repeated rows get equal scores; an empty table gives an
-empty result.
+label 1 (0.5 without any); repeated rows get equal scores; texts are scored whole,
+however long; other columns are not looked at, whatever they are called; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,6 +25,8 @@ from pyspark.sql import functions as F
 
 #: Labelled rows that a fit uses at most.
 MAX_TRAIN = 20_000
+#: Of these, the rows that each tree is grown on.
+TREE_ROWS = 4000
 THRESHOLD = 0.3
 TREES, DEPTH, CUTS, PENALTY, SEED = 40, 3, 24, 2e-3, 11
 
@@ -155,7 +159,7 @@ def fit_rules(x: np.ndarray, y: np.ndarray) -> RuleModel:
     rng = np.random.default_rng(SEED)
     cuts, found = _cuts(x), set()
     for _ in range(TREES):
-        rows = rng.integers(0, len(y), min(len(y), 4000))
+        rows = rng.integers(0, len(y), min(len(y), TREE_ROWS))
         _grow(x, y, rows, cuts, rng, (), found)
     rules = sorted(found)
     if not rules:
@@ -175,36 +179,43 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(5))
 
 
-def train(stats: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> RuleModel:
-    """Fit on rows of ``stats`` (doc_id and statistics) whose remainder isn't 0."""
+def train(docs: DataFrame, labels: DataFrame, max_rows: int = MAX_TRAIN) -> RuleModel:
+    """Fit on labelled rows of ``docs`` (doc_id, text) whose remainder isn't 0; statistics are taken of the sample alone."""
+    from .store import materialize
+
     known = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("y"))
     known = known.filter(F.col("y").isin(0, 1) & (remainder(F.col("doc_id")) != 0))
-    rows = stats.join(known, "doc_id").select("doc_id", "y", *(f"__{n}" for n in NAMES))
-    n = rows.count()
+    met = materialize(docs.select("doc_id").join(known, "doc_id"), "labelled")
+    n = met.count()
     if n > max_rows:  # a sample by hash, somewhat under the bound so that it holds
-        rows = rows.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < int(0.95 * max_rows))
+        met = met.filter(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < int(0.95 * max_rows))
+    met = F.broadcast(met.distinct().limit(max_rows))
+    rows = with_statistics(docs.select("doc_id", "text").join(met, "doc_id")).select("doc_id", "y", *(f"__{n}" for n in NAMES))
     data = np.array(sorted(map(tuple, rows.limit(max_rows).collect())), float).reshape(-1, 2 + len(NAMES))
     return fit_rules(data[:, 2:], data[:, 1])
 
 
+def _rows(docs: DataFrame) -> DataFrame:
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    return docs.select(row, docs["doc_id"].cast("long").alias("doc_id"), docs["text"].cast("string").alias("text"))
+
+
 def score_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per row: doc_id, held_out, score, predicted."""
-    from .store import materialize
-
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    stats = materialize(with_statistics(ids).drop("text"), "statistics")
-    score = train(stats, labels).column()
-    scored = stats.select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), score.alias("score"))
+    rows = _rows(docs).drop("row")
+    score = train(rows, labels).column()
+    scored = with_statistics(rows).select("doc_id", (remainder(F.col("doc_id")) == 0).alias("held_out"), score.alias("score"))
     return scored.withColumn("predicted", (F.col("score") >= THRESHOLD).cast("int"))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """``docs`` that the classifier doesn't reject."""
-    from .store import materialize
-
-    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    model = train(materialize(with_statistics(ids).drop("text"), "statistics"), labels)
-    return with_statistics(docs).filter(model.column() >= THRESHOLD).select(*docs.columns)
+    rows = _rows(docs)
+    # a filter would take a copy of every statistic for every rule below the projection that makes them; a column that
+    # depends on the row's place keeps it above
+    scored = with_statistics(rows).select("row", train(rows, labels).column().alias("score"), F.monotonically_increasing_id().alias("at"))
+    kept = scored.filter((F.col("score") >= THRESHOLD) & (F.col("at") >= 0))
+    return kept.select(*(F.col("row").getField(c).alias(c) for c in docs.columns))
 
 
 def query(spark, sf_dir: str) -> DataFrame:
