@@ -7,7 +7,7 @@ document, two values never share one, and the holder of the key can undo it. The
 round function is SHA-256 under the key.
 
   card     13-19 digits that satisfy Luhn: the first digit stays, the check digit is made anew
-  iban     digits of the account permuted, check digits made anew
+  iban     digits of the account permuted, check digits (02 to 98) made anew
   ssn      valid area, group and serial numbers
   phone    North American numbers, a leading 1 stays; those without +1 need an area and an exchange of 200-999
   ip       IPv4: all 32 bits
@@ -17,7 +17,8 @@ round function is SHA-256 under the key.
 
 Defined results: null stays null and the empty text empty; candidates that fail
 validation stay as they are; every row is handled by itself, so repeated rows give
-repeated results; an empty table gives an empty result.
+repeated results, and a text of any length is handled whole in its row's memory; other
+columns are carried along, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -170,7 +171,11 @@ def _mod97(text: Column) -> Column:
 
 def _card(net: Network, m: Column) -> Column:
     def made(d):
-        body = F.concat(F.substring(d, 1, 1), net.digits("card", F.substr(d, F.lit(2), F.length(d) - 2)))
+        first = F.substring(d, 1, 1)
+        inner = net.digits("card", F.substr(d, F.lit(2), F.length(d) - 2))
+        # nothing becomes the number of zeros, which is no card: such a value takes one more step
+        past = _let(inner, lambda x: F.when((first == "0") & x.rlike("^0+$"), net.digits("card", x)).otherwise(x))
+        body = F.concat(first, past)
         return _let(body, lambda b: _refill(m, F.concat(b, F.pmod(-_luhn(F.concat(b, F.lit("0"))), F.lit(10)).cast("string"))))
 
     return _let(_only_digits(m), lambda d: F.when((_luhn(d) == 0) & ~d.rlike("^0+$"), made(d)).otherwise(m))
@@ -190,7 +195,8 @@ def _iban(net: Network, m: Column) -> Column:
 
     def checked(plain):
         moved = F.concat(F.substr(plain, F.lit(5), F.length(plain)), F.substring(plain, 1, 4))
-        good = F.length(plain).between(15, 34) & (_mod97(moved) == 1) & (F.length(_only_digits(plain)) > 3)
+        check = F.substring(plain, 3, 2).cast("int")  # others are not made by the rule for check digits
+        good = F.length(plain).between(15, 34) & (_mod97(moved) == 1) & check.between(2, 98) & (F.length(_only_digits(plain)) > 3)
         return F.when(good, made(plain)).otherwise(m)
 
     return _let(F.translate(m, " ", ""), checked)
@@ -287,10 +293,12 @@ def _kind(m: Column) -> Column:
 def pseudonymize(docs: DataFrame, key: str, undo: bool = False, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
     """``docs`` with pseudonyms in ``text_col``. ``kinds_col``: also an array of what was replaced, in order.
 
-    ``undo`` restores the original texts under the same key.
+    ``undo`` restores the original texts under the same key. A column that is called as ``kinds_col`` gives way to it.
     """
     net = Network(key, undo)
-    text = F.col(text_col).cast("string")
+    row = F.struct(*(docs[c] for c in docs.columns)).alias("row")
+    staged = docs.select(row, F.col(text_col).cast("string").alias("text"))
+    text = F.col("text")
     may = F.coalesce(text.rlike("[0-9@]"), F.lit(False))
     nothing = F.array().cast("array<string>")
     found = F.when(may, F.regexp_extract_all(text, F.lit(ANY), 0)).otherwise(nothing)
@@ -302,13 +310,13 @@ def pseudonymize(docs: DataFrame, key: str, undo: bool = False, text_col: str =
             out = F.when(kind == name, maker(net, m)).otherwise(out)
         return out
 
-    staged = docs.withColumn("__found", found).withColumn("__made", F.transform("__found", made))
+    staged = staged.withColumn("found", found).withColumn("made", F.transform("found", made))
     gaps = F.split(text, ANY, -1)
-    rebuilt = F.array_join(F.zip_with(gaps, F.col("__made"), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
-    changed = F.when(F.size("__found") > 0, rebuilt).otherwise(text)
-    columns = [changed.alias(c) if c == text_col else docs[c] for c in docs.columns]
+    rebuilt = F.array_join(F.zip_with(gaps, F.col("made"), lambda g, m: F.concat(g, F.coalesce(m, F.lit("")))), "")
+    changed = F.when(F.size("found") > 0, rebuilt).otherwise(text)
+    columns = [(changed if c == text_col else F.col("row").getField(c)).alias(c) for c in docs.columns if c != kinds_col]
     if kinds_col:
-        pairs = F.filter(F.arrays_zip(F.col("__found").alias("f"), F.col("__made").alias("m")), lambda p: p["f"] != p["m"])
+        pairs = F.filter(F.arrays_zip(F.col("found").alias("f"), F.col("made").alias("m")), lambda p: p["f"] != p["m"])
         columns.append(F.transform(pairs, lambda p: _kind(p["f"])).alias(kinds_col))
     return staged.select(columns)
 
