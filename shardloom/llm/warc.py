@@ -11,8 +11,9 @@ The reader cuts files at the line between two records. The writer never lets a
 chunk hold that line: it ends the chunk within it.
 
 Defined results: a null payload is an empty one; null page ids are larger than
-others; rows that share the smallest id of their payload are all responses; an
-empty table gives an archive without records.
+others; rows that share the smallest id of their payload are all responses; URLs
+and payloads may be of any length; columns besides page_id, url and payload are not
+looked at, whatever they are called; an empty table gives an archive without records.
 """
 
 from __future__ import annotations
@@ -65,10 +66,11 @@ def plan_records(pages: DataFrame, least_bytes: int = 0) -> DataFrame:
 
     Payloads under ``least_bytes`` have themselves as first. ``pages``: page_id, payload.
     """
-    from .store import materialize
+    from .store import bound_batches, materialize
 
+    bound_batches(pages.sparkSession)
     digests = materialize(
-        pages.mapInArrow(_digests, "page_id long, payload_bytes long, payload_digest string"), "digests"
+        pages.select("page_id", "payload").mapInArrow(_digests, "page_id long, payload_bytes long, payload_digest string"), "digests"
     )
     firsts = digests.groupBy("payload_digest", "payload_bytes").agg(F.min("page_id").alias("first_id"))
     firsts = materialize(firsts, "firsts")
@@ -129,6 +131,7 @@ def chunk_table(pages: DataFrame, plan: DataFrame, size: int = CHUNK_BYTES) -> D
     """The chunked record table of pages (page_id, url, payload). Chunks of a record are consecutive rows."""
     total = plan.agg(F.sum("payload_bytes")).first()[0] or 0
     n = max(int(pages.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // FILE_BYTES))
+    pages = pages.select("page_id", "url", "payload")
     plan = plan.distinct().withColumn("digest", F.col("payload_digest")).drop("payload_digest")
     # pages that share an id can differ in their payload, so the payload's own hash is part of the key
     keyed = pages.withColumn("hash", F.unhex(F.sha1(F.coalesce("payload", F.lit(b"")))))
@@ -200,17 +203,26 @@ def write_archive(chunks: DataFrame, path: str) -> None:
             fs.rename(status.getPath(), jvm.org.apache.hadoop.fs.Path(top, name[: -len(".txt.gz")] + ".warc.gz"))
 
 
+def _blank_line(view: memoryview) -> int:
+    """Where the first blank line begins, from as much of ``view`` as that needs; -1 if there is none."""
+    size = 16 << 10
+    while True:
+        found = bytes(view[:size]).find(b"\r\n\r\n")
+        if found >= 0 or size >= len(view):
+            return found
+        size *= 4
+
+
 def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     rows: list[tuple] = []
     held = 0
     for batch in batches:
         for value in batch.column("value"):
             view = memoryview(value.as_buffer())
-            data = bytes(view[: 64 << 10]) if len(view) > (64 << 10) else bytes(view)
-            if not data.strip():
+            end = _blank_line(view)
+            if end < 0 and not bytes(view).strip():
                 continue
-            end = data.index(b"\r\n\r\n")
-            lines = data[:end].decode().split("\r\n")
+            lines = bytes(view[:end]).decode().split("\r\n")
             head = dict(x.split(": ", 1) if ": " in x else (x.rstrip(":"), "") for x in lines if not x.startswith("WARC/"))
             length = int(head["Content-Length"])
             block = view[end + 4 : end + 4 + length]
@@ -220,8 +232,7 @@ def _parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             if kind not in ("response", "revisit", "continuation"):
                 continue
             if kind != "continuation":
-                first = bytes(block[: 64 << 10])
-                block = block[first.index(b"\r\n\r\n") + 4 :] if first.startswith(b"HTTP/") else block
+                block = block[_blank_line(block) + 4 :] if bytes(block[:5]) == b"HTTP/" else block
             page = head.get("X-Page-ID")
             refers = head.get("WARC-Refers-To", "").removeprefix("<urn:page:").partition(":")[0]
             last = "WARC-Segment-Total-Length" in head or "WARC-Segment-Number" not in head

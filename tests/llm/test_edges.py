@@ -189,8 +189,7 @@ def test_warc_chunks(spark):
     """Chunks never hold the line between records, and digests go along with them."""
     line = b"\r\n\r\nWARC/1.1\r\n"
     payloads = [b"", b"WARC/1.1\r\nx", line * 50, b"a" * 1000 + line + b"\r\n\r\n", None, bytes(range(256)) * 40, b"\r\n" * 99, b"WA"]
-    pages = spark.createDataFrame([(i, f"http://x/{i} \n", p, "clash") for i, p in enumerate(payloads)], "page_id long, url string, payload binary, first_id string")
-    pages = pages.drop("first_id")
+    pages = spark.createDataFrame([(i, f"http://x/{i} \n" + "é" * 40_000 * (i == 1), p, "clash") for i, p in enumerate(payloads)], "page_id long, url string, payload binary, first_id string").withColumns({c: F.lit(1) for c in ("hash", "digest", "pk", "payload_bytes")})
     from shardloom.llm.store import new_path
 
     chunks = warc.chunk_table(pages, warc.plan_records(pages), size=64)

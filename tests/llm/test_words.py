@@ -7,8 +7,9 @@ import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
-from shardloom.llm import mixing, near_dedup, pseudonyms, registry, substring_dedup, warc
+from shardloom.llm import mixing, near_dedup, pseudonyms, quality, registry, substring_dedup, warc
 from shardloom.llm import words as W
 
 TEXT = st.text(alphabet=st.sampled_from("ab \t\n\v\f\r\x00\x1f\x85\xa0é　"), max_size=30)
@@ -109,3 +110,42 @@ def test_shares_are_whole_and_go_to_siblings_first(spark):
     assert got == {(p, q): 2 * n for p, q, n in leaves}
     with pytest.raises(ValueError):
         mixing.leaf_budgets(df, ["p", "q"], {"p": {"a": 0}}, 10, 1)
+
+
+def test_rules_hold_alike_in_columns_and_in_arrays(spark, tables):
+    """A model's column is the logistic sum of its rules as NumPy finds them."""
+    docs = spark.read.parquet(f"{tables}/documents.parquet").select("doc_id", "text")
+    rows = quality.with_statistics(docs)
+    x = np.array(rows.select(*(f"__{n}" for n in quality.NAMES)).collect(), float)
+    rng = np.random.default_rng(0)
+    model = quality.fit_rules(x, (x[:, 0] + 0.02 * rng.standard_normal(len(x)) > np.median(x[:, 0])).astype(float))
+    assert len(model.rules) > 3
+    total = model.bias + sum(w * quality.holds(r, x) for r, w in zip(model.rules, model.weights, strict=True))
+    got = np.array([r.s for r in rows.select(model.column().alias("s")).collect()])
+    assert np.allclose(got, 1 / (1 + np.exp(-total)), atol=1e-12)
+
+
+def test_statistics_are_computed_once(spark, tables):
+    docs, labels = (spark.read.parquet(f"{tables}/{n}.parquet") for n in ("documents", "labels"))
+    kept = quality.keep_good(docs, labels)
+    assert kept._jdf.queryExecution().optimizedPlan().toString().count("split(") <= 2
+
+
+def test_cards_and_accounts_keep_apart(spark):
+    """No two valid numbers share a pseudonym, zeros and odd check digits included."""
+    def luhn(d):
+        return sum(sum(divmod(int(c) * (2 if i % 2 else 1), 10)) for i, c in enumerate(reversed(d))) % 10 == 0
+
+    short = [f"{n:04}" for n in range(10_000) if luhn(f"{n:04}")]
+    df = spark.createDataFrame([(c,) for c in short], "m string")
+    for undo in (False, True):
+        net = pseudonyms.Network("k", undo)
+        got = {r.m: r.p for r in df.select("m", pseudonyms._card(net, F.col("m")).alias("p")).collect()}
+        assert got["0000"] == "0000" and len(set(got.values())) == len(short) and set(got.values()) == set(short)
+    odd = ["DE00370400440532013001", "DE98", "GB82WEST12345698765432"]
+    accounts = [f"DE{k:02}3704004405320{n:05}" for k in range(100) for n in range(300)]
+    plain = [a for a in accounts + odd if len(a) > 14 and int("".join(str(int(c, 36)) for c in a[4:] + a[:4])) % 97 == 1]
+    df = spark.createDataFrame([(c,) for c in plain], "m string")
+    got = {r.m: r.p for r in df.select("m", pseudonyms._iban(pseudonyms.Network("k"), F.col("m")).alias("p")).collect()}
+    assert len(set(got.values())) == len(plain)
+    assert {m[2:4] for m in plain} & {"00", "01", "99"} and all(got[m] == m for m in plain if m[2:4] in ("00", "01", "99"))
