@@ -14,10 +14,12 @@ Steps, each ended by a written table:
    candidates of a chunk, so their number is linear in the table's size.
 4. Candidates are confirmed, and links joined to components.
 5. Every group of A that still holds several components is looked through for
-   further pairs: chunks of the rows outside its largest component meet chunks of
-   all its rows, so a block is of bounded size. Of these pairs the sketches, and then the 256
-   smallest members of each set, drop those that are unlikely by four standard
-   deviations (sets of up to 256 are decided); the rest is confirmed as before.
+   further pairs. Its rows are packed, up to 4096 to a row: rows outside its largest
+   component meet each other and the largest component's, pack by pack, so a group of
+   n rows makes (n / 4096)^2 packed rows and no task holds more than two packs. Sizes
+   and sketches name the rows that may have a link; their full sets are packed by
+   bytes, meet in the same way, and yield only confirmed links, of which each joins two
+   components of its block: no more than rows in the block.
 
 A pair at a Jaccard similarity of 0.75 shares a key with probability 0.9999, and
 agrees on 24 of 48 sketch hashes with probability 0.9999.
@@ -25,8 +27,9 @@ agrees on 24 of 48 sketch hashes with probability 0.9999.
 Defined results: a document without words is linked with nothing and kept; one of
 fewer words than the shingle length has its whole word sequence as one shingle;
 a component's id leaves null ids out (one of null ids alone has a null id);
-rows that share an id and a text fall into one class; an empty table gives an
-empty result.
+rows that share an id and a text fall into one class; a text of any length is handled
+whole, alone in memory where it is longer than a slice; columns besides the id and the
+text are not looked at, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -48,13 +51,12 @@ ROWS = 2
 HASHES = 2 * GROUPS * ROWS
 #: Sketch hashes that must agree for a pair to be confirmed on its full sets.
 AGREE = HASHES // 2
-#: Smallest members of a set that speak for it before the full sets do.
-LOW = 256
-_NONE = np.iinfo(np.uint64).max
 #: Text handled at once.
 SLICE_BYTES = 2 << 20
-#: Classes compared with each other in one place.
+#: Classes of a table whose spanning tree is built in one place.
 CHUNK = 1024
+#: Rows of a group, and bytes of their full sets, that are packed into one row.
+PACK, PACK_BYTES = 4096, 8 << 20
 #: Ids up to which a list of wanted documents is broadcast (64 MB); beyond it is joined by shuffle.
 WANTED_BROADCAST = 4_000_000
 
@@ -62,7 +64,7 @@ _rng = np.random.default_rng(20240607)
 _XOR = _rng.integers(0, 2**64, HASHES, np.uint64)
 _MUL = _rng.integers(0, 2**64, HASHES, np.uint64) | np.uint64(1)
 
-_SKETCH = "doc_id long, place long, n_shingles long, node long, groups array<long>, sketch binary"
+_SKETCH = "doc_id long, text_hash long, place long, n_shingles long, node long, groups array<long>, sketch binary"
 
 
 def _shingles(text: pa.Array, width: int) -> tuple[np.ndarray, np.ndarray]:
@@ -123,13 +125,14 @@ def _sketches(width: int):
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column("doc_id").slice(a, b - a),
+                        batch.column("text_hash").slice(a, b - a),
                         batch.column("place").slice(a, b - a),
                         pa.array(sizes, pa.int64()),
                         pa.array(nodes, pa.int64(), mask=sizes == 0),
                         pa.array(groups, pa.list_(pa.int64())),
                         pa.array(sketches, pa.binary()),
                     ],
-                    names=["doc_id", "place", "n_shingles", "node", "groups", "sketch"],
+                    names=["doc_id", "text_hash", "place", "n_shingles", "node", "groups", "sketch"],
                 )
         pa.default_memory_pool().release_unused()
 
@@ -213,13 +216,9 @@ def _values(name: str, column: pa.Array) -> np.ndarray:
     if name == "sketch":
         return _matrix(column)
     if name == "groups":
-        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, 2 * GROUPS)
-    if name == "low":
-        out = np.full((len(column), LOW), _NONE, np.uint64)
-        for i, x in enumerate(column):
-            members = np.frombuffer(x.as_buffer(), np.uint64)
-            out[i, : len(members)] = members
-        return out
+        return column.flatten().to_numpy(zero_copy_only=False).reshape(-1, GROUPS)
+    if name == "members":
+        return np.concatenate([np.frombuffer(x.as_buffer(), np.uint64) for x in column])
     return column.to_numpy(zero_copy_only=False)
 
 
@@ -260,78 +259,162 @@ def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     yield _pairs(left, right)
 
 
-#: What a row is for in its block: others are compared with it, it is compared with others, or both.
-_RIGHT, _LEFT, _BOTH = 0, 1, 2
-_REST = "part long, pos int, node long, root long, minor boolean, role int, sketch binary, groups array<long>"
+#: What is packed of each row, and its kind.
+_PACKED = {"node": "<i8", "root": "<i8", "size": "<i8", "sketch": "u1", "groups": "<i8", "members": "<u8"}
+_PLACE = "key long, pos int, minor boolean, chunk long, minors long, majors long"
 
 
-def _near(rows: dict[str, np.ndarray], i: int) -> np.ndarray:
-    """Rows of other components whose sketches agree with row i's, and that meet it in no earlier table."""
-    near = (rows["root"] != rows["root"][i]) & ((rows["sketch"] == rows["sketch"][i]).sum(1) >= AGREE)
-    # of two rows of minor components only one looks for the other
-    near &= (rows["role"] != _LEFT) & (~rows["minor"] | (rows["node"] > rows["node"][i]))
-    at = np.flatnonzero(near)
-    earlier = rows["groups"][at][:, : rows["pos"][i]] == rows["groups"][i, : rows["pos"][i]]
-    return at[~earlier.any(1)]
+def _packs(names: tuple[str, ...]):
+    """One row for the rows of a part: they share their place, and go by size."""
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        place = [c.split(" ")[0] for c in _PLACE.split(", ")]
+        for rows in _chunks(batches, [*place, *names]):
+            order = np.argsort(rows["size"], kind="stable")
+            out = {n: pa.array(rows[n][:1]) for n in place}
+            for n in names:
+                if n == "members":
+                    ends = np.cumsum(rows["size"])
+                    data = b"".join(rows[n][ends[k] - rows["size"][k] : ends[k]].tobytes() for k in order)
+                else:
+                    data = np.ascontiguousarray(rows[n][order].astype(_PACKED[n])).tobytes()
+                out[n] = pa.array([data], pa.binary())
+            yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
 
-def _flagged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Rows of a chunk that have a near row of another component."""
-    names = [c.split(" ")[0] for c in _REST.split(", ")]
-    for rows in _chunks(batches, names):
-        flag = np.zeros(len(rows["node"]), bool)
-        for i in np.flatnonzero(rows["role"] != _RIGHT):
-            near = _near(rows, i)
-            flag[near] = True
-            flag[i] |= len(near) > 0
-        at = np.flatnonzero(flag)
-        if len(at):
-            flat = pa.array(rows["groups"][at].ravel())
-            groups = pa.ListArray.from_arrays(pa.array(np.arange(len(at) + 1) * 2 * GROUPS, pa.int32()), flat)
-            plain = {n: pa.array(rows[n][at]) for n in names[:6]}
-            sketch = pa.array([x.tobytes() for x in rows["sketch"][at]], pa.binary())
-            yield pa.RecordBatch.from_arrays([*plain.values(), sketch, groups], names=names)
+    return run
 
 
-def _across(percent: int):
-    """Pairs of a chunk from different components that their smallest members leave likely."""
+def _packed(rows: DataFrame, names: tuple[str, ...], name: str) -> DataFrame:
+    """Blocks (block, own, a, b) of packed rows: pack a, of minor components, meets pack b of its group."""
+    part = F.xxhash64("key", "minor", "chunk").alias("part")
+    place = [c.split(" ")[0] for c in _PLACE.split(", ")]
+    schema = f"{_PLACE}, {', '.join(f'{n} binary' for n in names)}"
+    packs = materialize(_by_chunk(rows.select(part, *place, *names)).mapInArrow(_packs(names), schema), name)
+    zero = F.lit(0).cast("long")
+
+    def met(a, b):
+        return F.struct(a.alias("a"), b.alias("b"))
+
+    others = F.filter(F.sequence(zero, F.col("minors") - 1), lambda j: j != F.col("chunk"))
+    others = F.transform(others, lambda j: met(F.least(j, "chunk"), F.greatest(j, "chunk")))
+    majors = F.transform(F.sequence(zero, F.col("majors") - 1), lambda j: met(F.col("chunk"), F.col("minors") + j))
+    minors = F.transform(F.sequence(zero, F.col("minors") - 1), lambda i: met(i, F.col("minors") + F.col("chunk")))
+    blocks = packs.select(
+        "key", "pos", "minors", F.when(F.col("minor"), F.col("chunk")).otherwise(F.col("minors") + F.col("chunk")).alias("own"), *names,
+        F.inline(F.when(F.col("minor"), F.concat(others, majors)).otherwise(minors)),
+    )
+    return _by_chunk(blocks.withColumn("part", F.xxhash64("key", "a", "b")))
+
+
+def _open(batches: Iterator[pa.RecordBatch], names: tuple[str, ...]) -> Iterator[tuple[int, int, dict, dict, bool]]:
+    """(key, pos, left, right, whether left also meets itself) of each block; a side can be without rows."""
+    scalars = ["key", "pos", "minors", "own", "a", "b"]
+    for block in _raw_chunks(batches, [*scalars, *names]):
+        sides = []
+        for own in (block["a"][0], block["b"][0]):
+            at = block["own"].index(own) if own in block["own"] else None
+            side = {}
+            for n in names:
+                flat = np.frombuffer(block[n][at] if at is not None else b"", _PACKED[n])
+                side[n] = flat.reshape(-1, HASHES if n == "sketch" else GROUPS) if n in ("sketch", "groups") else flat
+            sides.append(side)
+        yield block["key"][0], block["pos"][0], *sides, block["b"][0] == block["minors"][0]
+
+
+def _raw_chunks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[dict[str, list]]:
+    """Rows that share ``part`` as lists; one chunk is held at a time."""
+    held: dict[str, list] = {}
+    last = None
+    for batch in batches:
+        parts = batch.column("part").to_pylist()
+        columns = {n: batch.column(n) for n in names}
+        for i, part in enumerate(parts):
+            if held and part != last:
+                yield held
+                held = {}
+            last = part
+            for n in names:
+                held.setdefault(n, []).append(columns[n][i].as_py())
+    if held:
+        yield held
+
+
+def _sized(size: int, sizes: np.ndarray, percent: int) -> tuple[int, int]:
+    """Where sets of a size that leaves a link possible begin and end in ascending ``sizes``."""
+    return int(np.searchsorted(sizes, -(-size * percent // 100))), int(np.searchsorted(sizes, size * 100 // percent, "right"))
+
+
+def _near(left: dict, i: int, right: dict, first: int, percent: int) -> np.ndarray:
+    """Rows of ``right``, from ``first`` on, of other components, of like sizes, whose sketches agree with row i's of ``left``."""
+    a, b = _sized(int(left["size"][i]), right["size"], percent)
+    a = max(a, first)
+    if a >= b:
+        return np.zeros(0, np.int64)
+    agree = (right["sketch"][a:b] == left["sketch"][i]).sum(1) >= AGREE
+    return a + np.flatnonzero(agree & (right["root"][a:b] != left["root"][i]))
+
+
+_SKETCHED = ("node", "root", "size", "sketch")
+_WHOLE = (*_SKETCHED, "groups", "members")
+
+
+def _flagged(percent: int):
+    """Per block, the rows that have a near row of another component."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        left, right, held = [], [], 0
-        for rows in _chunks(batches, ["pos", "node", "root", "minor", "role", "sketch", "groups", "low"]):
-            low = rows["low"]
-            for i in np.flatnonzero(rows["role"] != _RIGHT):
-                near = _near(rows, i)
-                for part in np.array_split(near, len(near) // 1024 + 1):
-                    likely = part[_likely(low[i], low[part], percent)] if len(part) else part
-                    if len(likely):
-                        right.append(rows["node"][likely])
-                        left.append(np.full(len(likely), rows["node"][i]))
-                        held += len(likely)
-            if held > 100_000:
-                yield _pairs(left, right)
-                left, right, held = [], [], 0
-        yield _pairs(left, right)
+        for key, _, left, right, own in _open(batches, _SKETCHED):
+            here, there = np.zeros(len(left["node"]), bool), np.zeros(len(right["node"]), bool)
+            for i in range(len(here)):
+                if not (here[i] and there.all()):
+                    near = _near(left, i, right, 0, percent)
+                    there[near] = True
+                    here[i] |= len(near) > 0
+                if own and not (here[i] and here[i + 1 :].all()):
+                    near = _near(left, i, left, i + 1, percent)
+                    here[near] = True
+                    here[i] |= len(near) > 0
+            nodes = np.concatenate([left["node"][here], right["node"][there]])
+            if len(nodes):
+                yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([nodes], pa.list_(pa.int64()))], names=["key", "nodes"])
 
     return run
 
 
-def _likely(one: np.ndarray, many: np.ndarray, percent: int) -> np.ndarray:
-    """Whether the smallest members speak for the similarity; exact where they are all members.
+def _across(percent: int):
+    """Links of a block between different components, by the full sets; each joins two that are apart so far."""
 
-    Rows hold up to LOW members, ascending, padded with the largest number.
-    """
-    both = np.concatenate([many, np.broadcast_to(one, many.shape)], axis=1)
-    both.sort(axis=1)
-    real = both != _NONE
-    twice = (both[:, 1:] == both[:, :-1]) & real[:, 1:]
-    union = real.sum(1) - twice.sum(1)
-    rank = np.cumsum(np.concatenate([real[:, :1], real[:, 1:] & ~twice], axis=1), axis=1)
-    whole = (one[-1] == _NONE) & (many[:, -1] == _NONE)
-    size = np.where(whole, union, np.minimum(union, LOW))
-    common = (twice & (rank[:, 1:] <= size[:, None])).sum(1)
-    spread = np.where(whole, 0.0, 4 * np.sqrt(percent * (100 - percent) / size))
-    return 100 * common >= (percent - spread) * size - 1e-9
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for _, pos, left, right, own in _open(batches, _WHOLE):
+            n = len(left["node"])
+            both = {k: np.concatenate([left[k], right[k]]) for k in ("node", "root", "size", "members", "sketch", "groups")}
+            _, both["root"] = np.unique(both["root"], return_inverse=True)
+            vocabulary, flat = np.unique(both["members"], return_inverse=True)
+            ends = np.cumsum(both["size"])
+            begins, mark = ends - both["size"], np.zeros(len(vocabulary), bool)
+            sides = {k: (both[k][:n], both[k][n:]) for k in ("root", "size", "sketch")}  # roots change in place
+            left, right = ({k: sides[k][side] for k in sides} for side in (0, 1))
+            out: list[tuple[int, int]] = []
+            for i in range(n):
+                near = n + _near(left, i, right, 0, percent)
+                if own:
+                    near = np.concatenate([_near(left, i, left, i + 1, percent), near])
+                # pairs that an earlier group holds are its business
+                near = near[~(both["groups"][near, :pos] == both["groups"][i, :pos]).any(1)]
+                if not len(near):
+                    continue
+                mark[flat[begins[i] : ends[i]]] = True
+                for j in near:
+                    if both["root"][i] == both["root"][j]:
+                        continue
+                    common = int(np.count_nonzero(mark[flat[begins[j] : ends[j]]]))
+                    if 100 * common >= percent * (int(both["size"][i] + both["size"][j]) - common):
+                        out.append((both["node"][i], both["node"][j]))
+                        both["root"][both["root"] == both["root"][j]] = both["root"][i]
+                mark[flat[begins[i] : ends[i]]] = False
+            if out:
+                yield _pairs([np.array([a for a, _ in out])], [np.array([b for _, b in out])])
+
+    return run
 
 
 def _sets(docs: DataFrame, reps: DataFrame, nodes: DataFrame, width: int) -> DataFrame:
@@ -355,15 +438,15 @@ def _links(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 def near_dedup(
     docs: DataFrame, width: int = 5, percent: int = 75, id_col: str = "doc_id", text_col: str = "text"
 ) -> DataFrame:
-    """Per document: n_shingles, component_id (smallest id of its component) and kept (it has that id)."""
+    """Per document: n_shingles, component_id (smallest id of its component), kept (it has that id) and text_hash."""
     bound_batches(docs.sparkSession)
     docs = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
     # by which a text is found again: the id, or a hash of the text where there is none
-    docs = docs.withColumn("place", F.coalesce("doc_id", F.xxhash64("text")))
+    docs = docs.withColumn("text_hash", F.xxhash64("text")).withColumn("place", F.coalesce("doc_id", "text_hash"))
     sketches = materialize(docs.mapInArrow(_sketches(width), _SKETCH), "sketches")
     full = sketches.filter("node is not null")
     reps = full.groupBy("node").agg(
-        F.min("place").alias("place"), F.first("groups").alias("groups"), F.first("sketch").alias("sketch")
+        F.min("place").alias("place"), F.first("groups").alias("groups"), F.first("sketch").alias("sketch"), F.first("n_shingles").alias("n_shingles")
     )
     reps = materialize(reps, "reps")
 
@@ -406,29 +489,33 @@ def near_dedup(
 
     # 5. A groups that hold several components
     labelled = reps.join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
-    labelled = materialize(labelled.select("node", "root", "sketch", "groups"), "labelled")
-    rows = labelled.select("node", "root", F.posexplode(F.slice("groups", 1, GROUPS)).alias("pos", "key"))
-    counts = rows.groupBy("key", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("key").agg(
+    first = F.slice("groups", 1, GROUPS).alias("groups")
+    labelled = materialize(labelled.select("node", "root", F.col("n_shingles").alias("size"), "sketch", first), "labelled")
+    rows = labelled.select("node", "root", F.posexplode("groups").alias("pos", "key"))
+    counts = rows.groupBy("key", "pos", "root").agg(F.count(F.lit(1)).alias("rows")).groupBy("key", "pos").agg(
         F.max(F.struct("rows", "root")).getField("root").alias("major"),
         F.count(F.lit(1)).alias("roots"),
-        F.ceil(F.sum("rows") / CHUNK).cast("long").alias("chunks"),
-        F.ceil((F.sum("rows") - F.max("rows")) / CHUNK).cast("long").alias("minors"),
+        F.ceil(F.max("rows") / PACK).cast("long").alias("majors"),
+        F.ceil((F.sum("rows") - F.max("rows")) / PACK).cast("long").alias("minors"),
+    )
+    mixed = materialize(counts.filter("roots > 1").drop("roots"), "mixed")
+    rest = _placed(rows.join(mixed, ["key", "pos"])).join(labelled.select("node", "size", "sketch"), "node")
+    found = _packed(rest, _SKETCHED, "packs").mapInArrow(_flagged(percent), "key long, nodes array<long>")
+    flagged = materialize(found.select("key", F.explode("nodes").alias("node")).distinct(), "flagged")
+    sets = _sets(docs, reps, flagged.select("node"), width)
+    rows = flagged.join(mixed.drop("majors", "minors"), "key").join(labelled, "node").join(sets, "node")
+    minor = F.col("root") != F.col("major")
+    volumes = flagged.join(mixed.select("key", "major"), "key").join(labelled.select("node", "root", "size"), "node")
+    volumes = volumes.groupBy("key").agg(
+        F.ceil(F.coalesce(F.sum(F.when(~minor, F.col("size") * 8)), F.lit(0)) / PACK_BYTES).cast("long").alias("majors"),
+        F.ceil(F.coalesce(F.sum(F.when(minor, F.col("size") * 8)), F.lit(0)) / PACK_BYTES).cast("long").alias("minors"),
     )
-    mixed = materialize(counts.filter("roots > 1").select("key", "major", "chunks", "minors"), "mixed")
-    rest = rows.join(mixed, "key").withColumn("minor", F.col("root") != F.col("major"))
-    rest = rest.select("key", "node", "pos", "minor", F.inline(_blocks()))
-    rest = rest.select("node", "pos", "minor", "role", F.xxhash64("key", "i", "j").alias("part")).join(labelled, "node")
-    rest = _by_chunk(rest.select("part", "pos", "node", "root", "minor", "role", "sketch", "groups"))
-    rest = materialize(rest.mapInArrow(_flagged, _REST), "flagged")
-    sets = _sets(docs, reps, rest.select("node"), width)
-    low = sets.select("node", F.substring("members", 1, 8 * LOW).alias("low"))
-    more = _by_chunk(rest.join(low, "node")).mapInArrow(_across(percent), "a long, b long")
-    more = materialize(more.distinct().join(tried, ["a", "b"], "left_anti"), "candidates")
-    late = _links(more, sets, percent)
+    whole = _placed(rows.join(materialize(volumes, "volumes"), "key"))
+    late = materialize(_packed(whole, _WHOLE, "wholes").mapInArrow(_across(percent), "a long, b long").distinct(), "late")
     if not late.isEmpty():
         roots = components(links.union(late))
 
-    grouped = sketches.select("doc_id", "n_shingles", "node").join(roots, "node", "left")
+    grouped = sketches.select("doc_id", "text_hash", "n_shingles", "node").join(roots, "node", "left")
     grouped = grouped.withColumn("root", F.coalesce("root", "node"))
     least = grouped.filter("root is not null").groupBy("root").agg(F.min("doc_id").alias("least"))
     least = materialize(least, "least")
@@ -439,25 +526,15 @@ def near_dedup(
         "n_shingles",
         component.alias("component_id"),
         F.col("doc_id").eqNullSafe(component).alias("kept"),
+        "text_hash",
     )
 
 
-def _blocks():
-    """(i, j, role) of the blocks a row of a group goes to: chunk i of the minor components' rows meets chunk j of all.
-
-    A group of one chunk is one block with each row in it once.
-    """
-    place = F.xxhash64("node", "key")
-    i, j = F.pmod(place, F.col("minors")), F.pmod(place, F.col("chunks"))
-
-    def block(i, j, role):
-        return F.struct(i.alias("i"), j.alias("j"), role.alias("role"))
-
-    zero = F.lit(0).cast("long")
-    one = F.array(block(zero, zero, F.when(F.col("minor"), F.lit(_BOTH)).otherwise(F.lit(_RIGHT))))
-    right = F.transform(F.sequence(zero, F.col("minors") - 1), lambda k: block(k, j, F.lit(_RIGHT)))
-    left = F.transform(F.sequence(zero, F.col("chunks") - 1), lambda k: block(i, k, F.lit(_LEFT)))
-    return F.when(F.col("chunks") == 1, one).when(F.col("minor"), F.concat(right, left)).otherwise(right)
+def _placed(rows: DataFrame) -> DataFrame:
+    """``rows`` (key, node, root, major, minors, majors...) with the pack that each belongs to."""
+    rows = rows.withColumn("minor", F.col("root") != F.col("major")).withColumn("majors", F.greatest("majors", F.lit(1).cast("long")))
+    packs = F.when(F.col("minor"), F.col("minors")).otherwise(F.col("majors"))
+    return rows.withColumn("chunk", F.pmod(F.xxhash64("node", "key"), packs)).drop("major")
 
 
 def _by_chunk(rows: DataFrame) -> DataFrame:
@@ -468,7 +545,7 @@ def _by_chunk(rows: DataFrame) -> DataFrame:
 def query(spark, sf_dir: str) -> DataFrame:
     from .store import table
 
-    return near_dedup(table(spark, sf_dir, "documents"))
+    return near_dedup(table(spark, sf_dir, "documents")).drop("text_hash")
 
 
 ORACLE_SQL = r"""

@@ -64,7 +64,7 @@ def operators(benchmark, labels):
         "mixing": lambda d: mixing.mix_documents(d),
         "mixing_rows": lambda d: mixing.mix_documents(d, carry=True).select("id", "copies", "row.text"),
         **{f"stage_{n}": (lambda d, f=f: f(d.sparkSession, d, None)) for n, f in corpus_pipeline.STAGES if n in ("near_dedup", "pii")},
-        "stage_mixing": lambda d: corpus_pipeline.mix(d.sparkSession, d, None).select("doc_id", "text", "n_tokens", "copies"),
+        "stage_mixing": lambda d: corpus_pipeline.mix(d.sparkSession, d, None).select("doc_id", "text"),
     }
 
 

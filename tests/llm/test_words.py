@@ -9,7 +9,7 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from shardloom.llm import mixing, near_dedup, pseudonyms, quality, registry, substring_dedup, warc
+from shardloom.llm import mixing, pseudonyms, quality, registry, substring_dedup, warc
 from shardloom.llm import words as W
 
 TEXT = st.text(alphabet=st.sampled_from("ab \t\n\v\f\r\x00\x1f\x85\xa0é　"), max_size=30)
@@ -55,19 +55,6 @@ def test_slices(texts, limit):
     assert all(b - a == 1 or sum(map(len, texts[a:b])) <= limit for a, b in found)
 
 
-@given(st.sets(st.integers(0, 400), max_size=300), st.sets(st.integers(0, 400), max_size=300))
-@settings(max_examples=100, deadline=None)
-def test_smallest_members_never_hide_a_small_set(a, b):
-    """Sets that fit are decided exactly."""
-    a, b = ({x for x in s if x < 250} for s in (a, b))
-    if not a or not b:
-        return
-    rows = np.full((2, near_dedup.LOW), np.iinfo(np.uint64).max, np.uint64)
-    for row, s in zip(rows, (a, b), strict=True):
-        row[: len(s)] = sorted(s)
-    assert near_dedup._likely(rows[0], rows[1:], 75)[0] == (100 * len(a & b) >= 75 * len(a | b))
-
-
 @given(st.binary(max_size=60), st.integers(1, 40))
 def test_chunks_never_hold_the_line_between_records(data, size):
     line = b"\r\n\r\nWARC/1.1\r\n"
