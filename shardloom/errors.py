@@ -10,39 +10,110 @@ class ShardloomError(Exception):
 
 
 class ParseError(ShardloomError):
+    """A query that the strict dialect refuses; ``says`` is what is wrong, ``detail`` the part of it that is meant."""
+
     status = 400
-    message = "SQL parse error"
+    says = "this is not a query of the dialect"
 
     def __init__(self, detail: str = ""):
-        super().__init__(f"{self.message}: {detail}" if detail else self.message)
+        super().__init__(f"{self.says} ({detail})" if detail else self.says)
         self.detail = detail
 
 
-def _kind(name: str, message: str) -> type[ParseError]:
-    return type(name, (ParseError,), {"message": message, "__module__": __name__})
-
-
-SyntaxProblem = _kind("SyntaxProblem", "SQL parse error")
-EmptyQuery = _kind("EmptyQuery", "Empty query")
-MultipleStatements = _kind("MultipleStatements", "Multiple statements not supported")
-UnsupportedStatement = _kind("UnsupportedStatement", "Unsupported statement type")
-UnsupportedQuery = _kind("UnsupportedQuery", "Unsupported query")
-MissingTable = _kind("MissingTable", "Missing FROM table")
-JoinsNotSupported = _kind("JoinsNotSupported", "JOINs are not supported")
-UnsupportedTableExpression = _kind("UnsupportedTableExpression", "Unsupported table expression")
-UnsupportedProjection = _kind("UnsupportedProjection", "Unsupported projection")
-UnsupportedFunction = _kind("UnsupportedFunction", "Unsupported function")
-UnsupportedExpression = _kind("UnsupportedExpression", "Unsupported expression")
-UnsupportedOperator = _kind("UnsupportedOperator", "Unsupported operator")
-ExpectedColumnName = _kind("ExpectedColumnName", "Expected column name")
-ExpectedValue = _kind("ExpectedValue", "Expected value")
-InvalidNumber = _kind("InvalidNumber", "Invalid number")
-UnsupportedValue = _kind("UnsupportedValue", "Unsupported value type")
-InvalidInterval = _kind("InvalidInterval", "Invalid interval")
-InvalidTimeBucket = _kind("InvalidTimeBucket", "Invalid TIME_BUCKET arguments")
-UnsupportedGroupByExpression = _kind("UnsupportedGroupByExpression", "Unsupported GROUP BY expression")
-UnsupportedOrderByExpression = _kind("UnsupportedOrderByExpression", "Unsupported ORDER BY expression")
-InvalidLimit = _kind("InvalidLimit", "Invalid LIMIT value")
+# what is asked for as a whole
+
+
+class EmptyQuery(ParseError):
+    says = "there is nothing to run"
+
+
+class SyntaxProblem(ParseError):
+    says = "the text cannot be read as SQL"
+
+
+class MultipleStatements(ParseError):
+    says = "one statement at a time, please"
+
+
+class UnsupportedStatement(ParseError):
+    says = "only SELECT reads a table here"
+
+
+class UnsupportedQuery(ParseError):
+    says = "the strict dialect has no such clause; sql_extended() may"
+
+
+# where rows come from
+
+
+class MissingTable(ParseError):
+    says = "FROM must name a table"
+
+
+class JoinsNotSupported(ParseError):
+    says = "a strict query reads one table; sql_extended() joins"
+
+
+class UnsupportedTableExpression(ParseError):
+    says = "FROM takes a table's name alone"
+
+
+# what is selected, grouped and ordered
+
+
+class UnsupportedProjection(ParseError):
+    says = "this cannot stand in a SELECT list"
+
+
+class UnsupportedFunction(ParseError):
+    says = "no function of that name"
+
+
+class InvalidTimeBucket(ParseError):
+    says = "TIME_BUCKET takes '<count> <unit>' and a column"
+
+
+class InvalidInterval(ParseError):
+    says = "not a length of time"
+
+
+class UnsupportedGroupByExpression(ParseError):
+    says = "GROUP BY takes columns, aliases and TIME_BUCKET"
+
+
+class UnsupportedOrderByExpression(ParseError):
+    says = "ORDER BY takes columns, aliases and aggregates, ASC or DESC"
+
+
+class InvalidLimit(ParseError):
+    says = "LIMIT takes a whole number that is not negative"
+
+
+# conditions
+
+
+class UnsupportedExpression(ParseError):
+    says = "conditions compare a column with a literal"
+
+
+class UnsupportedOperator(ParseError):
+    says = "no such operator in conditions"
+
+
+class ExpectedColumnName(ParseError):
+    says = "a column belongs on the left"
+
+
+class ExpectedValue(ParseError):
+    says = "a literal belongs on the right"
+
+
+class UnsupportedValue(ParseError):
+    says = "no literal of this kind"
+
+
+class InvalidNumber(ParseError):
+    says = "not a number that fits"
 
 
 class PlanError(ShardloomError):
