@@ -31,11 +31,13 @@ class QueryResult:
     elapsed_ms: float
     cached: bool = False
     availability: float = 100.0
+    rows_scanned: int | None = None  # rows and number of the shards that the query's times allow; of sharded tables only
+    shards_scanned: int | None = None
 
     def response(self) -> dict:
         """The answer as JSON values; times are epoch milliseconds."""
         rows = [[epoch_ms(v) for v in r] for r in self.rows]
-        return {"columns": self.columns, "rows": rows, "row_count": len(rows), "execution_time_ms": self.elapsed_ms, "cached": self.cached, "availability": self.availability}
+        return {"columns": self.columns, "rows": rows, "row_count": len(rows), "execution_time_ms": self.elapsed_ms, "cached": self.cached, "availability": self.availability, "rows_scanned": self.rows_scanned, "shards_scanned": self.shards_scanned}
 
 
 @dataclass
@@ -129,12 +131,20 @@ class Engine:
         spec = parse(text)
         found = self.cache.get((spec, self.two_valued))
         if found is not None:
-            columns, rows = found
-            return QueryResult(columns, rows, (time.perf_counter() - began) * 1000, cached=True)
+            columns, rows, scanned = found
+            return QueryResult(columns, rows, (time.perf_counter() - began) * 1000, True, 100.0, *scanned)
         df = compile_query(spec, self.frame(spec), self.now_ms(), self.two_valued)
         rows = [list(r) for r in df.collect()]
-        self.cache.put((spec, self.two_valued), spec.table, (df.columns, rows))
-        return QueryResult(df.columns, rows, (time.perf_counter() - began) * 1000)
+        scanned = self.scanned(spec)
+        self.cache.put((spec, self.two_valued), spec.table, (df.columns, rows, scanned))
+        return QueryResult(df.columns, rows, (time.perf_counter() - began) * 1000, False, 100.0, *scanned)
+
+    def scanned(self, spec: QuerySpec) -> tuple[int | None, int | None]:
+        """(rows, shards) that a query reads of a sharded table. Rows are counted from the files' footers."""
+        if spec.table in self.frames:
+            return None, None
+        table, bounds = self.catalog.get(spec.table), time_bounds(spec.where, TIME_COLUMN, self.now_ms())
+        return table.scan(*bounds).count(), len(table.shards_between(*bounds))
 
     # upkeep
 

@@ -9,10 +9,13 @@ from __future__ import annotations
 
 import datetime as dt
 import json
+import uuid
+from collections.abc import Iterable, Mapping
 from dataclasses import asdict, dataclass, field
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from py4j.protocol import Py4JJavaError
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -68,6 +71,12 @@ def to_tag(column: Column, old: Tag, new: Tag) -> Column:
     return column.cast(spark_type(new))
 
 
+def _blooms(held: Mapping[str, Tag]) -> dict[str, str]:
+    """Writer options for bloom filters of the columns that equality filters look up; they are as small as their values allow."""
+    columns = [n for n, t in held.items() if t in (Tag.STRING, Tag.INT64) and n != TIME_COLUMN and "." not in n]
+    return {"parquet.bloom.filter.adaptive.enabled": "true"} | {f"parquet.bloom.filter.enabled#{n}": "true" for n in columns} if columns else {}
+
+
 @dataclass
 class Table:
     spark: SparkSession
@@ -75,6 +84,7 @@ class Table:
     config: TableConfig
     tags: dict[str, Tag] = field(default_factory=dict)
     versions: list[Version] = field(default_factory=list)
+    sealed: set[int] = field(default_factory=set)  # starts of the shards that take no more rows
 
     @property
     def schema(self) -> T.StructType:
@@ -82,7 +92,7 @@ class Table:
         return T.StructType([T.StructField(n, spark_type(Tag.STRING if t is Tag.NULL else t)) for n, t in self.tags.items()])
 
     def append(self, df: DataFrame, tags: dict[str, Tag] | None = None) -> IngestResult:
-        """Add the rows of ``df`` that have a timestamp; the others are counted as errors.
+        """Add the rows of ``df`` that have a timestamp in a shard that isn't sealed; the others are counted as errors.
 
         ``tags``: what the columns hold, where that is narrower than their Spark types say.
         """
@@ -100,21 +110,30 @@ class Table:
         held = {n: t for n, t in tags.items() if t is not Tag.NULL}
         cells = [F.col(quote(n)).cast(spark_type(t)).alias(n) for n, t in held.items() if n != TIME_COLUMN]
         rows = df.withColumn(TIME_COLUMN, at.cast("timestamp")).select(TIME_COLUMN, *cells)
-        rows = rows.observe(*self._counts())
-        good = rows.filter(F.col(TIME_COLUMN).isNotNull())
-        good = good.withColumn(SHARD, bucket_ms(to_ms(F.col(TIME_COLUMN)), self.config.shard_ms))
+        rows = rows.withColumn(SHARD, bucket_ms(to_ms(F.col(TIME_COLUMN)), self.config.shard_ms))
+        fits = F.col(SHARD).isNotNull()
+        if self.sealed:
+            fits = fits & ~F.col(SHARD).isin(sorted(self.sealed))
+        seen = Observation()
+        rows = rows.observe(seen, F.count(F.lit(1)).alias("all"), F.count_if(fits).alias("good"))
         version = self._version(tags, held)
-        # rows of a small shard meet in one file; a large one is split by the planner
-        good.hint("rebalance", SHARD).write.mode("append").partitionBy(SHARD).parquet(self.store.path(version.folder))
-        got = self._observed.get
+        # a version is known before its first file, so a write that breaks off never leaves an unknown folder
         self._save()
+        # rows of a small shard meet in one file, in order of time; a large one is split by the planner
+        good = rows.filter(fits).hint("rebalance", SHARD).sortWithinPartitions(SHARD, TIME_COLUMN)
+        good.write.options(**_blooms(held)).mode("append").partitionBy(SHARD).parquet(self.store.path(version.folder))
+        try:
+            got = seen.get
+        except Py4JJavaError:  # a write without rows is planned away, and its counts with it
+            return IngestResult(0, df.count())
         return IngestResult(got["good"], got["all"] - got["good"])
 
-    def _counts(self):
-        from pyspark.sql import Observation
-
-        self._observed = Observation()
-        return self._observed, F.count(F.lit(1)).alias("all"), F.count(F.col(TIME_COLUMN)).alias("good")
+    def seal(self, shards: Iterable[int]) -> None:
+        """Take no more rows into these shards."""
+        new = set(shards) - self.sealed
+        if new:
+            self.sealed |= new
+            self._save()
 
     def _version(self, tags: dict[str, Tag], held: dict[str, Tag]) -> Version:
         """The version whose columns agree with ``held``, opened if there is none."""
@@ -124,7 +143,7 @@ class Table:
             if all(v.tags.get(n, t) is t for n, t in held.items()):
                 v.tags |= held
                 return v
-        self.versions.append(Version(f"{self.config.name}/v{len(self.versions)}", dict(held)))
+        self.versions.append(Version(f"{self.config.name}/v{len(self.versions)}-{uuid.uuid4().hex[:12]}", dict(held)))
         return self.versions[-1]
 
     def scan(self, start_ms: int | None = None, end_ms: int | None = None) -> DataFrame:
@@ -154,6 +173,11 @@ class Table:
         found = {int(n.split("=")[1]) for v in self.versions for n in self.store.list(v.folder) if n.startswith(f"{SHARD}=")}
         return sorted(found)
 
+    def shards_between(self, start_ms: int | None, end_ms: int | None) -> list[int]:
+        """Starts of the shards that a scan of [start, end) reads."""
+        width = self.config.shard_ms
+        return [s for s in self.shards() if (start_ms is None or s > start_ms - width) and (end_ms is None or s < end_ms)]
+
     def stats(self) -> TableStats:
         shards = self.shards()
         end = shards[-1] + self.config.shard_ms if shards else None
@@ -167,12 +191,16 @@ class Table:
         for s in gone:
             for v in self.versions:
                 self.store.delete(f"{v.folder}/{SHARD}={s}")
+        if self.sealed & set(gone):
+            self.sealed -= set(gone)
+            self._save()
         return len(gone)
 
     def _save(self) -> None:
         state = {
             "config": asdict(self.config),
             "tags": {n: t.value for n, t in self.tags.items()},
+            "sealed": sorted(self.sealed),
             "versions": [{"folder": v.folder, "tags": {n: t.value for n, t in v.tags.items()}} for v in self.versions],
         }
         self.store.write_text(f"{self.config.name}/_table.json", json.dumps(state))
@@ -185,7 +213,7 @@ class Table:
             return {n: Tag(t) for n, t in d.items()}
 
         versions = [Version(v["folder"], tags(v["tags"])) for v in state["versions"]]
-        return cls(spark, store, TableConfig(**state["config"]), tags(state["tags"]), versions)
+        return cls(spark, store, TableConfig(**state["config"]), tags(state["tags"]), versions, set(state.get("sealed", [])))
 
 
 class Catalog:

@@ -28,7 +28,10 @@ class Worker:
 
 
 def sealed_stats(engine: Engine, now_ms: int) -> dict[str, dict[int, SubsampleStats]]:
-    """Per table and shard that ended long enough ago: rows, and how many a subsample would keep. Nothing is dropped."""
+    """Seal the shards that ended long enough ago; per table and shard their rows, and how many a subsample would keep.
+
+    Nothing is dropped, but a sealed shard takes no more rows.
+    """
     from pyspark.sql import functions as F
 
     from .functions.time import bucket_ms, to_ms
@@ -41,6 +44,7 @@ def sealed_stats(engine: Engine, now_ms: int) -> dict[str, dict[int, SubsampleSt
         old = [s for s in table.shards() if s + table.config.shard_ms <= end]
         if not old:
             continue
+        table.seal(old)
         rows = table.scan(None, old[-1] + table.config.shard_ms)
         counts = rows.groupBy(bucket_ms(to_ms(F.col(TIME_COLUMN)), table.config.shard_ms).alias("shard")).agg(F.count(F.lit(1)).alias("n"))
         ratio = table.config.subsample_ratio
