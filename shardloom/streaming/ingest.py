@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import os
 from collections.abc import Mapping
 from dataclasses import dataclass, field
@@ -11,6 +12,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..engine import Engine
+from ..errors import ShardloomError
 from ..functions.predicates import quote
 from ..functions.time import parse_interval
 from ..types import TIME_COLUMN
@@ -68,13 +70,17 @@ class StreamStats:
 
 @dataclass
 class StreamIngest:
-    """Messages into tables, at least once: a batch that fails is run again from the checkpoint.
+    """Messages into tables. A batch that fails is run again from the checkpoint, without the tables that have it already.
 
-    A message {"table", "rows"} is a batch for that table; any other object is a row of its topic's table.
+    A message {"table", "rows"} is a batch for that table; any other object is a row of its topic's table. Messages that
+    are no such objects, or whose table cannot be, count as errors and are passed over. Each table keeps the number of
+    the last batch it got from a stream of this ``name``; only a driver that dies between a table's write and this note
+    repeats the table's part of one batch.
     """
 
     engine: Engine
     stats: StreamStats = field(default_factory=StreamStats)
+    name: str = "stream"
 
     def process(self, batch: DataFrame, batch_id: int) -> None:
         """``batch``: value, and topic, partition and offset where the source has them."""
@@ -91,8 +97,16 @@ class StreamIngest:
         try:
             counts = parsed.agg(F.count(F.lit(1)), F.count_if("good")).first()
             each = parsed.filter("good").select("table", F.explode("rows").alias("row")).select("table", F.to_json("row").alias("row"))
-            for (name,) in each.select("table").distinct().collect():
-                result = self.engine.ingest_json(name, each.filter(F.col("table") == name), "row")
+            sizes = each.groupBy("table").agg(F.count(F.lit(1)).alias("n")).collect()  # a row per table of the batch
+            for r in sorted(sizes, key=lambda r: str(r.table)):
+                if self._last(r.table) >= batch_id:
+                    continue
+                try:
+                    result = self.engine.ingest_json(r.table, each.filter(F.col("table") == r.table), "row")
+                except ShardloomError:  # no table of that name can be
+                    self.stats.errors += r.n
+                    continue
+                self._note(r.table, batch_id)
                 self.stats.rows += result.inserted
                 self.stats.errors += result.errors
             self.stats.received += counts[0]
@@ -104,7 +118,19 @@ class StreamIngest:
         finally:
             parsed.unpersist()
 
+    def _notes(self, table: str) -> dict[str, int]:
+        store, path = self.engine.catalog.store, f"{table}/_streams.json"
+        return json.loads(store.read_text(path)) if table in self.engine.catalog.tables and store.exists(path) else {}
+
+    def _last(self, table: str) -> int:
+        return self._notes(table).get(self.name, -1)
+
+    def _note(self, table: str, batch_id: int) -> None:
+        self.engine.catalog.store.write_text(f"{table}/_streams.json", json.dumps(self._notes(table) | {self.name: batch_id}))
+
     def start(self, source: DataFrame, checkpoint: str, available_now: bool = False, every: str = "10 seconds") -> StreamingQuery:
+        if self.name == "stream":
+            self.name = checkpoint  # batches are numbered by checkpoint
         writer = source.writeStream.foreachBatch(self.process).option("checkpointLocation", checkpoint)
         return (writer.trigger(availableNow=True) if available_now else writer.trigger(processingTime=every)).start()
 
