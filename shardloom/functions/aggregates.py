@@ -40,13 +40,19 @@ def percentiles(df: DataFrame, keys: Sequence[tuple[str, Column]], column: Colum
 
     Values are first counted per group and value, so repeats collapse before the shuffle; ranks are
     then running sums over distinct values within slices of the value range, offset by the sums of the
-    slices before. No group is ever held or sorted in one place.
+    slices before. Slices end at approximate quantiles of the values that occur, so each holds about
+    the same number of them however narrow their range is. No group is ever held or sorted in one place.
     """
     names = [name for name, _ in keys]
     slots = [f"__k{i}" for i in range(len(keys))]
     values = df.select(*(c.alias(s) for s, (_, c) in zip(slots, keys, strict=True)), column.cast("double").alias("__v"))
     counts = values.filter("__v is not null").groupBy(*slots, "__v").agg(F.count(F.lit(1)).alias("__n"))
-    cut = counts.withColumn("__slice", _slice(F.col("__v")))
+    edges = F.percentile_approx(F.when(~F.isnan("__v"), F.col("__v")), F.array(*(F.lit(k / SLICES) for k in range(1, SLICES))), F.lit(20 * SLICES))
+    side = int(SLICES**0.5)
+    coarse = F.transform(F.sequence(F.lit(side - 1), F.lit(SLICES - 2), F.lit(side)), lambda k: F.get("__edges", k))
+    cuts = counts.agg(edges.alias("__edges")).select("__edges", coarse.alias("__coarse"))  # one row
+    cut = counts.crossJoin(F.broadcast(cuts)).withColumn("__slice", _slice(F.col("__v"), F.col("__edges"), F.col("__coarse")))
+    cut = cut.drop("__edges", "__coarse")
     sums = cut.groupBy(*slots, "__slice").agg(F.sum("__n").alias("__held"))
     before = Win.partitionBy(*slots).orderBy("__slice").rowsBetween(Win.unboundedPreceding, -1)
     sums = sums.withColumn("__before", F.coalesce(F.sum("__held").over(before), F.lit(0)))
@@ -69,11 +75,16 @@ def percentiles(df: DataFrame, keys: Sequence[tuple[str, Column]], column: Colum
     return found.select(*(F.col(s).alias(n) for s, n in zip(slots, names, strict=True)), *(n for n, _ in wanted))
 
 
-def _slice(value: Column) -> Column:
-    """A number that grows with the value: an eighth of an octave, with its sign."""
-    octave = F.floor(F.log2(F.least(F.abs(value), F.lit(1.7e308))) * 8) + 8800
-    signed = F.when(value > 0, octave).otherwise(-octave)
-    return F.when(F.isnan(value), F.lit(30_000)).when(value == 0, F.lit(0)).otherwise(signed).cast("int")
+#: Slices of the value range, a square.
+SLICES = 256
+
+
+def _slice(value: Column, edges: Column, coarse: Column) -> Column:
+    """How many of the ascending ``edges`` lie below the value, by way of every sixteenth of them; NaN comes last."""
+    side = int(SLICES**0.5)
+    run = F.size(F.filter(coarse, lambda e: e < value))
+    within = F.size(F.filter(F.slice(edges, run * side + 1, side), lambda e: e < value))
+    return F.when(F.isnan(value), F.lit(SLICES)).otherwise(F.when(edges.isNull(), F.lit(0)).otherwise(run * side + within)).cast("int")
 
 
 def nearest_rank(column: Column, p: float) -> Column:

@@ -1,4 +1,4 @@
-"""Sampling by hash: the same rows whatever the partitioning."""
+"""Sampling by hash: the same rows whatever the partitioning, and in any engine that has MD5."""
 
 from __future__ import annotations
 
@@ -10,11 +10,15 @@ from pyspark.sql import functions as F
 from ..functions.predicates import quote
 
 _PARTS = 1_000_000
+#: Parts of the hash's range that subsample() counts.
+_RANGES = 1 << 16
 
 
 def _row_hash(df: DataFrame, key: str | None, seed: int) -> Column:
-    columns = [F.col(quote(key))] if key else [F.col(quote(c)) for c in df.columns]
-    return F.xxhash64(*columns, F.lit(seed))
+    """60 bits of the MD5 of '<key>|<seed>'; without a key, of the row as JSON."""
+    value = F.col(quote(key)).cast("string") if key else F.to_json(F.struct(*(F.col(quote(c)) for c in df.columns)))
+    name = F.concat_ws("|", F.coalesce(value, F.lit("")), F.lit(str(seed)))
+    return F.conv(F.substring(F.md5(name), 1, 15), 16, 10).cast("long")
 
 
 def bernoulli(df: DataFrame, rate: float, seed: int = 0, key: str | None = None) -> DataFrame:
@@ -39,7 +43,20 @@ class SubsampleStats:
 
 
 def subsample(df: DataFrame, ratio: float, seed: int = 0, key: str | None = None) -> tuple[DataFrame, SubsampleStats]:
-    """ceil(n * ratio) rows of ``df``, and the counts."""
-    n = df.count()
+    """ceil(n * ratio) rows of ``df``, and the counts: those of the smallest hashes.
+
+    Counts by ranges of the hash say which of them are in; only the rows of the one range that the
+    sample ends in are put in order.
+    """
+    held = F.shiftright(_row_hash(df, key, seed), 60 - (_RANGES.bit_length() - 1)).cast("int")
+    sizes = df.groupBy(held.alias("part")).agg(F.count(F.lit(1)).alias("n")).collect()  # _RANGES rows at most
+    n = sum(r.n for r in sizes)
     target = min(n, max(0, -int(-n * ratio // 1)))
-    return sample_k(df, target, seed, key), SubsampleStats(n, target)
+    taken, end = 0, -1
+    for r in sorted(sizes, key=lambda r: r.part):
+        end = r.part
+        if taken + r.n >= target:
+            break
+        taken += r.n
+    rest = sample_k(df.filter(held == end), target - taken, seed, key)
+    return df.filter(held < end).union(rest), SubsampleStats(n, target)

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from functools import reduce
+from itertools import count
 
 from pyspark.sql import DataFrame
 from pyspark.sql import Window as Win
@@ -77,11 +78,11 @@ def summaries(spans: DataFrame) -> DataFrame:
     )
 
 
-def tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
+def tree(spans: DataFrame) -> DataFrame:
     """``spans`` with ``depth`` and ``path`` (span ids from the root), by a join on the parent per level.
 
-    Each level is a written table, so plans stay short however deep the trees are. Spans below
-    ``max_depth``, or in a cycle, get nulls.
+    Each level is a written table, so plans stay short however deep the trees are; the last is the one
+    that is empty. No path meets a span twice, and spans that no root leads to get nulls.
     """
     spark, folder = spans.sparkSession, scratch(spans.sparkSession, "tree")
     rooted = with_roots(spans)
@@ -91,10 +92,10 @@ def tree(spans: DataFrame, max_depth: int = 64) -> DataFrame:
     level = links.filter("is_root").select("trace_id", "span_id", F.array("span_id").alias("path")).distinct()
     level.write.parquet(f"{folder}/depth=0")
     below = links.filter("not is_root").select("trace_id", "parent_span_id", "span_id").distinct()
-    for depth in range(1, max_depth + 1):
+    for depth in count(1):
         level = spark.read.parquet(f"{folder}/depth={depth - 1}")
         parents = level.select("trace_id", F.col("span_id").alias("parent_span_id"), "path")
-        found = below.join(parents, ["trace_id", "parent_span_id"])
+        found = below.join(parents, ["trace_id", "parent_span_id"]).filter(~F.array_contains("path", F.col("span_id")))
         found.select("trace_id", "span_id", F.concat("path", F.array("span_id")).alias("path")).write.parquet(f"{folder}/depth={depth}")
         if spark.read.parquet(f"{folder}/depth={depth}").isEmpty():
             break
