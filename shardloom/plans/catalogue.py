@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..alerts import Condition, evaluate
 from ..engine import Engine
-from ..functions.aggregates import aggregate, approximate, histogram
+from ..functions.aggregates import aggregate, approximate, histogram, percentiles
 from ..functions.time import time_bucket
 from ..operators import templates as TP
 from ..operators import traces as TR
@@ -393,9 +393,14 @@ def _alerts(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _register("q58_alert_conditions", _alerts, "SELECT * FROM (VALUES ('gt', (SELECT count(*) > 10 FROM events)), ('le', (SELECT max(value) <= 0 FROM events)), ('ne', true), ('rows', true), ('none', false)) t(condition, fires)")
-_register("q59_bernoulli", lambda s, d: bernoulli(_read(s, d, "events"), 0.1, seed=3, key="event_id"), None)
-_register("q60_sample_k", lambda s, d: sample_k(_read(s, d, "events"), 100, seed=3, key="event_id"), None)
-_register("q61_subsample", lambda s, d: subsample(_read(s, d, "events"), 0.01, seed=3, key="event_id")[0], None)
+_HASH = "('0x' || substr(md5(event_id || '|3'), 1, 15))::BIGINT"
+_register("q59_bernoulli", lambda s, d: bernoulli(_read(s, d, "events"), 0.1, seed=3, key="event_id"), f"SELECT * FROM events WHERE {_HASH} % 1000000 < 100000")
+_register("q60_sample_k", lambda s, d: sample_k(_read(s, d, "events"), 100, seed=3, key="event_id"), f"SELECT * FROM events ORDER BY {_HASH}, event_id LIMIT 100")
+_register(
+    "q61_subsample",
+    lambda s, d: subsample(_read(s, d, "events"), 0.01, seed=3, key="event_id")[0],
+    f"SELECT * FROM events QUALIFY row_number() OVER (ORDER BY {_HASH}, event_id) <= (SELECT ceil(count(*) * 0.01) FROM events)",
+)
 _register(
     "q62_approx_percentile",
     lambda s, d: _read(s, d, "events").groupBy("event_type").agg(approximate(F.col("value"), 0.95).alias("p")),
@@ -424,6 +429,108 @@ _register(
 )
 
 
+def _stream_replay(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Good messages among bad ones, run twice as after a failure: each row is there once, errors are counted."""
+    events = _read(spark, sf_dir, "events").filter("event_type = 'click'")
+    row = F.to_json(F.struct(F.unix_millis(F.col("ts").cast("timestamp")).alias("timestamp"), "event_id"))
+    good = events.select(F.lit("clicks").alias("topic"), row.alias("value"))
+    bad = [("clicks", '{"table": "a/b", "rows": [{"timestamp": 1}]}'), ("clicks", "nonsense"), ("clicks", None), ("_x", '{"timestamp": 1}'), ("clicks", '{"no": "time"}')]
+    batch = good.union(spark.createDataFrame(bad, "topic string, value string"))
+    engine = _engine(spark)
+    engine.create_table(TableConfig("clicks", shard_ms=30 * 86_400_000))
+    for _ in range(2):
+        stream = StreamIngest(engine)
+        stream.process(batch, 0)
+    StreamIngest(engine).process(batch.limit(0), 1)
+    return engine.sql("SELECT event_id FROM clicks")
+
+
+_register("q66_stream_replay", _stream_replay, "SELECT event_id FROM events WHERE event_type = 'click'")
+
+
+def _sealed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rows that come for sealed shards are refused and counted."""
+    engine = _sharded(spark, sf_dir)
+    engine.catalog.get("events").seal(s for s in engine.catalog.get("events").shards() if s < 1_705_000_000_000)
+    late = engine.append("events", _read(spark, sf_dir, "events").withColumnRenamed("ts", "timestamp"))
+    return engine.sql("SELECT COUNT(*) AS n FROM events").withColumn("refused", F.lit(late.errors).cast("long"))
+
+
+_EARLY = "(epoch_us(ts) // 1000) // 86400000 * 86400000 < 1705000000000"
+_register("q67_sealed_shards", _sealed, f"SELECT count(*) + count(*) FILTER (NOT {_EARLY}) AS n, count(*) FILTER ({_EARLY}) AS refused FROM events")
+
+
+def _scanned(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a query reads, as its answer says."""
+    answer = _sharded(spark, sf_dir).query("SELECT COUNT(*) AS n FROM events WHERE timestamp >= '2024-01-07 12:00:00' AND timestamp < '2024-01-09'").response()
+    return spark.createDataFrame([(answer["rows"][0][0], answer["rows_scanned"], answer["shards_scanned"])], "n long, rows_scanned long, shards_scanned long")
+
+
+_register(
+    "q68_rows_scanned",
+    _scanned,
+    """SELECT count(*) FILTER (ts >= TIMESTAMP '2024-01-07 12:00:00') AS n, count(*) AS rows_scanned, count(DISTINCT ts::DATE) AS shards_scanned
+       FROM events WHERE ts >= TIMESTAMP '2024-01-07' AND ts < TIMESTAMP '2024-01-09'""",
+)
+
+
+def _narrow(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Percentiles of a column whose values lie close together, by ranks over slices of it."""
+    events = _read(spark, sf_dir, "events").withColumn("ms", F.unix_millis(F.col("ts").cast("timestamp")))
+    return percentiles(events, [("event_type", F.col("event_type"))], F.col("ms"), [("p50", 0.5), ("p95", 0.95)])
+
+
+_MS = "list_sort(list(epoch_us(ts) // 1000))[cast(round({p}::DOUBLE * (count(*) - 1)) AS INT) + 1]::DOUBLE"
+_register("q69_percentiles_by_slices", _narrow, f"SELECT event_type, {_MS.format(p=0.5)} AS p50, {_MS.format(p=0.95)} AS p95 FROM events GROUP BY 1")
+
+
+def _with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Null keys are a group of their own, and null times have a null bucket."""
+    events = _read(spark, sf_dir, "events")
+    some = events.withColumn("kind", F.when(F.col("event_type") != "click", F.col("event_type"))).withColumn("at", F.when(F.col("value") >= 50, F.col("ts")))
+    return _plain_times(compile_query(parse("SELECT kind, TIME_BUCKET('1 day', at) AS day, COUNT(*) AS n, COUNT(at) AS timed FROM t GROUP BY kind, day"), some, 0))
+
+
+_register("q70_null_groups", _with_nulls, f"SELECT nullif(event_type, 'click') AS kind, CASE WHEN value >= 50 THEN {_bucket(86_400_000)} END AS day, count(*) AS n, count(*) FILTER (value >= 50) AS timed FROM events GROUP BY ALL")
+_register(
+    "q71_extended_join",
+    lambda s, d: _extended(s, d, "SELECT a.event_type, a.event_id, row_number() OVER (PARTITION BY a.event_type ORDER BY a.event_id) AS r FROM events a JOIN events b ON a.event_id = b.event_id + 1 WHERE b.event_type = 'view' AND a.value > (SELECT avg(value) FROM events)"),
+    "SELECT a.event_type, a.event_id, row_number() OVER (PARTITION BY a.event_type ORDER BY a.event_id) AS r FROM events a JOIN events b ON a.event_id = b.event_id + 1 WHERE b.event_type = 'view' AND a.value > (SELECT avg(value) FROM events)",
+)
+_register(
+    "q72_trace_load",
+    lambda s, d: _plain_times(TR.load_trace(_spans(s, d), "10").select("span_id", "parent_span_id", "start_time")),
+    f"WITH {_SPANS_SQL} SELECT span_id, parent_span_id, start_time FROM s WHERE trace_id = '10' ORDER BY start_time, span_id",
+)
+
+
+def _recent(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """NOW() is the engine's clock."""
+    engine = Engine(spark, scratch(spark, "engine"), clock=lambda: 1_705_000_000.0)
+    engine.register("events", _read(spark, sf_dir, "events"))
+    return engine.sql("SELECT event_id FROM events WHERE ts >= NOW() - INTERVAL '2 days'")
+
+
+_register("q73_now_minus_interval", _recent, "SELECT event_id FROM events WHERE ts >= make_timestamp(1705000000000000) - INTERVAL 2 DAY")
+
+
+def _batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables made by their first batch, their schemas, and rows without a time counted."""
+    engine = _engine(spark)
+    first = engine.ingest("a", [{"timestamp": 1, "x": 1, "y": {"z": "s"}}, {"x": 2}, {"timestamp": "no", "x": 3}])
+    second = engine.ingest("b", [{"timestamp": 2, "x": 0.5}, {"timestamp": 3, "x": 1}])
+    found = [(t, c, tag.value, n.inserted, n.errors) for t, n in (("a", first), ("b", second)) for c, tag in engine.schema(t).items()]
+    return spark.createDataFrame(found, "name string, field string, tag string, inserted long, errors long")
+
+
+_register(
+    "q74_batches_and_schemas",
+    _batches,
+    """SELECT * FROM (VALUES ('a', 'timestamp', 'TIMESTAMP', 1::BIGINT, 2::BIGINT), ('a', 'x', 'INT64', 1, 2), ('a', 'y.z', 'STRING', 1, 2),
+       ('b', 'timestamp', 'TIMESTAMP', 2, 0), ('b', 'x', 'FLOAT64', 2, 0)) t(name, field, tag, inserted, errors)""",
+)
+
+
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Counts of events by type, through parser and compiler."""
     return QUERIES["q17_group_one"](spark, sf_dir)
