@@ -9,13 +9,15 @@ turns is a small min-plus matrix from the state before to the state after it.
 
 Turns are dealt to ranges by (conversation, position), which cuts a conversation of
 any length into runs of bounded size. Every range first yields the matrices of the
-two conversations it may share with its neighbours; the driver chains these few
-numbers; then every range repairs its turns on its own.
+two conversations it may share with its neighbours; those of a conversation, one per
+20,000 of its turns, are chained in one place; then every range repairs its turns on
+its own, with the states before and after them.
 
 Defined results: a null or unknown role costs a relabelling of 1; null text renders
-as empty; turns of equal position go by role, then text; repeated rows are turns of
-their own; null conversation ids are one conversation, null positions come first; an
-empty table gives an empty result.
+as empty, and texts of any length whole; turns of equal position go by role, then text,
+and are never told apart by ranges; repeated rows are turns of their own; null
+conversation ids are one conversation, null positions come first; other columns are not
+looked at, whatever they are called; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -38,7 +40,9 @@ _INF = 1 << 40
 #: Turns in a range.
 RANGE_TURNS = 20_000
 
-_TURN = "part int, conv_id long, turn long, role string, text string"
+_STATE = "at_part int, at_conv long, start int, end int, closes boolean"
+#: Parts that share a conversation up to which their states are broadcast (under 64 MB).
+BROADCAST_PARTS = 1_000_000
 _MATRIX = "part int, conv_id long, last boolean, whole boolean, costs array<long>"
 PIECE = "conv_id long, turn long, piece int, action string, role string, rendered string"
 
@@ -184,20 +188,28 @@ def repair(turns: list[dict], start: int = 0, end: int | None = None, is_last: b
     return out
 
 
-def _repairs(states: dict[tuple[int, int | None], tuple[int, int, bool]]):
-    """``states``: (part, conversation) -> (state before, state after, whether it ends here), for shared ones."""
+def _chained(edges: pa.Table) -> pa.Table:
+    """The states before and after each run of one conversation, and whether it closes there."""
+    rows = sorted(edges.to_pylist(), key=lambda e: (e["part"], e["last"]))
+    runs = [e for i, e in enumerate(rows) if i == 0 or e["part"] != rows[i - 1]["part"]]
+    ways = chain([e["costs"] for e in runs])[1] if len(runs) > 1 else []
+    states = [(e["part"], e["conv_id"], start, end, e is runs[-1]) for e, (start, end) in zip(runs, ways, strict=False)]
+    types = [pa.int32(), pa.int64(), pa.int32(), pa.int32(), pa.bool_()]
+    columns = list(zip(*states, strict=True)) if states else [[]] * 5
+    return pa.table([pa.array(c, t) for c, t in zip(columns, types, strict=True)], names=[c.split(" ")[0] for c in _STATE.split(", ")])
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows = []
-        for part, conv, turns, _ in _runs(batches):
-            start, end, last = states.get((part, conv), (0, None, True))
-            rows += [(conv, *piece) for piece in repair(turns, start, end, last)]
-            if len(rows) > 5000:
-                yield _pieces(rows)
-                rows = []
-        yield _pieces(rows)
 
-    return run
+def _repairs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Repaired runs of turns that carry the states of a conversation with several runs."""
+    rows = []
+    for _, conv, turns, _ in _runs(batches):
+        first = turns[0]
+        shared = first["start"] is not None
+        rows += [(conv, *piece) for piece in (repair(turns, first["start"], first["end"], first["closes"]) if shared else repair(turns))]
+        if len(rows) > 5000:
+            yield _pieces(rows)
+            rows = []
+    yield _pieces(rows)
 
 
 def _pieces(rows: list[tuple]) -> pa.RecordBatch:
@@ -218,18 +230,12 @@ def repair_roles(turns: DataFrame) -> DataFrame:
     dealt = rows.repartitionByRange(parts, "conv_id", "turn").withColumn("part", F.spark_partition_id())
     dealt = materialize(dealt.select("part", *order), "turns")
     sorted_ = dealt.repartition(parts, "part").sortWithinPartitions("part", *order)
-    edges = sorted_.mapInArrow(_edges, _MATRIX).orderBy("part", "last").collect()  # two rows a part
-    states = {}
-    by_conv: dict[int | None, list] = {}
-    for e in edges:
-        by_conv.setdefault(e.conv_id, []).append(e)
-    for conv, runs in by_conv.items():
-        runs = [e for i, e in enumerate(runs) if i == 0 or e.part != runs[i - 1].part]
-        if len(runs) > 1:
-            _, ways = chain([e.costs for e in runs])
-            for e, (start, end) in zip(runs, ways, strict=True):
-                states[e.part, conv] = (start, end, e is runs[-1])
-    return sorted_.mapInArrow(_repairs(states), PIECE)
+    edges = sorted_.mapInArrow(_edges, _MATRIX)
+    states = materialize(edges.groupBy("conv_id").applyInArrow(_chained, _STATE), "states")
+    few = F.broadcast(states) if states.count() <= BROADCAST_PARTS else states
+    same = (F.col("part") == F.col("at_part")) & F.col("conv_id").eqNullSafe(F.col("at_conv"))
+    met = dealt.join(few, same, "left").drop("at_part", "at_conv")
+    return met.repartition(parts, "part").sortWithinPartitions("part", *order).mapInArrow(_repairs, PIECE)
 
 
 def query(spark, sf_dir: str) -> DataFrame:
