@@ -7,6 +7,7 @@ executor costs the tasks of the current step only.
 from __future__ import annotations
 
 import atexit
+import re
 import tempfile
 import uuid
 
@@ -14,12 +15,14 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of ``spark.checkpoint.dir``; a new temporary one only where it is unset."""
+    """The folder of ``spark.checkpoint.dir``; a new temporary one only where it is unset and all runs on one machine."""
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     if not top:
         top = sc.getCheckpointDir()
     if not top:
+        if not re.match(r"local(\[|$)", sc.master):
+            raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         top = tempfile.mkdtemp(prefix="shardloom-")
         sc.setCheckpointDir(top)
     return top.rstrip("/")
@@ -68,7 +71,10 @@ BATCH_BYTES = 8 << 20
 
 
 def bound_batches(spark: SparkSession) -> None:
-    """Keep Arrow batches of this session small: rows here can be whole texts or sets."""
+    """Keep Arrow batches of this session small, from here on: rows here can be whole texts or sets.
+
+    The setting is read when a plan runs, which is after the operator has returned it, so it stays.
+    """
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
     now = spark.conf.get(key, "64m").lower().rstrip("b")
     units = {"k": 1 << 10, "m": 1 << 20, "g": 1 << 30}

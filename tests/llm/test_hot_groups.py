@@ -57,3 +57,17 @@ def test_columns_of_the_mix(spark):
     got = corpus_pipeline.mix(spark, docs, None)
     assert got.columns == [*docs.columns, "_domain", "n_tokens", "_copies"]
     assert {(r.domain, r.copies, r.n_tokens) for r in got.collect()} == {("mine", 1, 4)}
+
+
+def test_pairs_about_the_threshold(spark):
+    """Pairs at a similarity of 0.72, 0.75 and 0.78: those from 0.75 on are linked, each of them."""
+    rng = random.Random(9)
+    rows, expected = [], {}
+    for i in range(900):
+        words = [f"v{rng.randrange(10**9)}" for _ in range(60)]
+        t = 7 + i % 3  # of 56 shingles t are others
+        copy = words[:-t] + [f"u{rng.randrange(10**9)}" for _ in range(t)]
+        rows += [(2 * i, " ".join(words)), (2 * i + 1, " ".join(copy))]
+        expected |= {2 * i: 2 * i, 2 * i + 1: 2 * i if 100 * (56 - t) >= 75 * (56 + t) else 2 * i + 1}
+    got = near_dedup.near_dedup(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r.doc_id: r.component_id for r in got} == expected
