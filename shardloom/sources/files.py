@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import SparkSession
 
+from ..errors import StorageError
+
 
 class Store:
     """A folder."""
@@ -53,10 +55,13 @@ class Store:
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A new folder's path in the folder that driver and executors share; a local one only where none is set."""
+    """A new folder's path in the folder that driver and executors share; a local one only where none is set, on one machine."""
+    import re
     import tempfile
     import uuid
 
     sc = spark.sparkContext
     top = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not top and not re.match(r"local(\[|$)", sc.master):
+        raise StorageError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     return f"{(top or tempfile.mkdtemp(prefix='shardloom-')).rstrip('/')}/{name}-{uuid.uuid4().hex}"
