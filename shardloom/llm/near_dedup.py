@@ -56,7 +56,7 @@ SLICE_BYTES = 2 << 20
 #: Classes of a table whose spanning tree is built in one place.
 CHUNK = 1024
 #: Rows of a group, and bytes of their full sets, that are packed into one row.
-PACK, PACK_BYTES = 4096, 8 << 20
+PACK, PACK_BYTES = 4096, 2 << 20
 #: Ids up to which a list of wanted documents is broadcast (64 MB); beyond it is joined by shuffle.
 WANTED_BROADCAST = 4_000_000
 
@@ -280,16 +280,17 @@ def _packs(names: tuple[str, ...]):
                     data = np.ascontiguousarray(rows[n][order].astype(_PACKED[n])).tobytes()
                 out[n] = pa.array([data], pa.binary())
             yield pa.RecordBatch.from_arrays([*out.values()], names=[*out])
+        pa.default_memory_pool().release_unused()
 
     return run
 
 
-def _packed(rows: DataFrame, names: tuple[str, ...], name: str) -> DataFrame:
+def _packed(rows: DataFrame, names: tuple[str, ...]) -> DataFrame:
     """Blocks (block, own, a, b) of packed rows: pack a, of minor components, meets pack b of its group."""
     part = F.xxhash64("key", "minor", "chunk").alias("part")
     place = [c.split(" ")[0] for c in _PLACE.split(", ")]
     schema = f"{_PLACE}, {', '.join(f'{n} binary' for n in names)}"
-    packs = materialize(_by_chunk(rows.select(part, *place, *names)).mapInArrow(_packs(names), schema), name)
+    packs = _by_chunk(rows.select(part, *place, *names)).mapInArrow(_packs(names), schema)
     zero = F.lit(0).cast("long")
 
     def met(a, b):
@@ -334,7 +335,8 @@ def _raw_chunks(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator
                 held = {}
             last = part
             for n in names:
-                held.setdefault(n, []).append(columns[n][i].as_py())
+                value = columns[n][i]
+                held.setdefault(n, []).append(value.as_buffer() if pa.types.is_binary(value.type) else value.as_py())
     if held:
         yield held
 
@@ -376,6 +378,7 @@ def _flagged(percent: int):
             nodes = np.concatenate([left["node"][here], right["node"][there]])
             if len(nodes):
                 yield pa.RecordBatch.from_arrays([pa.array([key], pa.int64()), pa.array([nodes], pa.list_(pa.int64()))], names=["key", "nodes"])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -411,8 +414,10 @@ def _across(percent: int):
                         out.append((both["node"][i], both["node"][j]))
                         both["root"][both["root"] == both["root"][j]] = both["root"][i]
                 mark[flat[begins[i] : ends[i]]] = False
+            del both, vocabulary, flat, sides, left, right
             if out:
                 yield _pairs([np.array([a for a, _ in out])], [np.array([b for _, b in out])])
+        pa.default_memory_pool().release_unused()
 
     return run
 
@@ -500,7 +505,7 @@ def near_dedup(
     )
     mixed = materialize(counts.filter("roots > 1").drop("roots"), "mixed")
     rest = _placed(rows.join(mixed, ["key", "pos"])).join(labelled.select("node", "size", "sketch"), "node")
-    found = _packed(rest, _SKETCHED, "packs").mapInArrow(_flagged(percent), "key long, nodes array<long>")
+    found = _packed(rest, _SKETCHED).mapInArrow(_flagged(percent), "key long, nodes array<long>")
     flagged = materialize(found.select("key", F.explode("nodes").alias("node")).distinct(), "flagged")
     sets = _sets(docs, reps, flagged.select("node"), width)
     rows = flagged.join(mixed.drop("majors", "minors"), "key").join(labelled, "node").join(sets, "node")
@@ -511,7 +516,7 @@ def near_dedup(
         F.ceil(F.coalesce(F.sum(F.when(minor, F.col("size") * 8)), F.lit(0)) / PACK_BYTES).cast("long").alias("minors"),
     )
     whole = _placed(rows.join(materialize(volumes, "volumes"), "key"))
-    late = materialize(_packed(whole, _WHOLE, "wholes").mapInArrow(_across(percent), "a long, b long").distinct(), "late")
+    late = materialize(_packed(whole, _WHOLE).mapInArrow(_across(percent), "a long, b long").distinct(), "late")
     if not late.isEmpty():
         roots = components(links.union(late))
 
