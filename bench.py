@@ -71,6 +71,14 @@ def main() -> None:
     engine.create_table(TableConfig("ingested", shard_ms=365 * 86_400_000))
     engine.append("ingested", rows.limit(1000))  # a first write compiles the writer
     seconds = timed(lambda: engine.append("ingested", rows))
+    # JSON, as the reference's clients send it: lines in a column, and objects from the driver
+    lines = rows.limit(100_000).select(F.to_json(F.struct(*(F.unix_millis(F.col(c).cast("timestamp")).alias(c) if c == "timestamp" else F.col(c) for c in rows.columns))).alias("value")).cache()
+    n_lines = lines.count()
+    engine.create_table(TableConfig("ingested_json", shard_ms=365 * 86_400_000))
+    json_seconds = timed(lambda: engine.ingest_json("ingested_json", lines))
+    objects = [json.loads(r.value) for r in lines.limit(10_000).collect()]
+    engine.create_table(TableConfig("ingested_rows", shard_ms=365 * 86_400_000))
+    rows_seconds = timed(lambda: engine.ingest("ingested_rows", objects))
     print(
         json.dumps(
             {
@@ -81,6 +89,8 @@ def main() -> None:
                 "warm": {k: round(v, 4) for k, v in warm.items()},
                 "cache_hit_us": {k: round(v * 1e6, 1) for k, v in hit.items()},
                 "ingest_rows_per_s": round(n / seconds),
+                "ingest_json_rows_per_s": round(n_lines / json_seconds),
+                "ingest_objects_rows_per_s": round(len(objects) / rows_seconds),
                 "sf": float(os.path.basename(sf_dir.rstrip("/")).removeprefix("sf") or 0) if os.path.basename(sf_dir.rstrip("/")).startswith("sf") else sf_dir,
             }
         )
