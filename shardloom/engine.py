@@ -53,7 +53,7 @@ class Engine:
     def __post_init__(self):
         apply_semantics(self.spark)
         self.catalog = Catalog(self.spark, self.root)
-        self.frames: dict[str, tuple[DataFrame, str | None]] = {}
+        self.frames: dict[str, DataFrame] = {}
 
     def now_ms(self) -> int:
         return int(self.clock() * 1000)
@@ -64,19 +64,19 @@ class Engine:
         return self.catalog.create(TableConfig(config) if isinstance(config, str) else config)
 
     def drop_table(self, name: str) -> None:
-        self.frames.pop(name, None) or self.catalog.drop(name)
+        self.frames.pop(name, None) is not None or self.catalog.drop(name)
         self.cache.invalidate(name)
 
     def tables(self) -> list[str]:
         return sorted({*self.catalog.names(), *self.frames})
 
-    def register(self, name: str, df: DataFrame, time_column: str | None = None) -> None:
-        """Make any DataFrame a table to query."""
-        self.frames[name] = (df, time_column)
+    def register(self, name: str, df: DataFrame) -> None:
+        """Make any DataFrame a table to query; conditions on any of its columns are pushed down to its source."""
+        self.frames[name] = df
         self.cache.invalidate(name)
 
     def schema(self, name: str) -> dict[str, Tag]:
-        return schema_tags(self.frames[name][0].schema) if name in self.frames else dict(self.catalog.get(name).tags)
+        return schema_tags(self.frames[name].schema) if name in self.frames else dict(self.catalog.get(name).tags)
 
     def stats(self) -> dict:
         tables = {n: asdict(self.catalog.get(n).stats()) for n in self.catalog.names()}
@@ -107,7 +107,7 @@ class Engine:
     def frame(self, spec: QuerySpec) -> DataFrame:
         """The rows a query reads: of a sharded table only the shards that its times allow."""
         if spec.table in self.frames:
-            return self.frames[spec.table][0]
+            return self.frames[spec.table]
         if spec.table not in self.catalog.tables:
             raise TableNotFound(spec.table)
         return self.catalog.get(spec.table).scan(*time_bounds(spec.where, TIME_COLUMN, self.now_ms()))
@@ -121,7 +121,7 @@ class Engine:
         """Any Spark SQL over the tables, with TIME_BUCKET and the percentile functions."""
         for name in self.catalog.names():
             self.catalog.get(name).scan().createOrReplaceTempView(name)
-        for name, (df, _) in self.frames.items():
+        for name, df in self.frames.items():
             df.createOrReplaceTempView(name)
         return extended.run(self.spark, text)
 

@@ -494,7 +494,7 @@ def _with_nulls(spark: SparkSession, sf_dir: str) -> DataFrame:
 _register("q70_null_groups", _with_nulls, f"SELECT nullif(event_type, 'click') AS kind, CASE WHEN value >= 50 THEN {_bucket(86_400_000)} END AS day, count(*) AS n, count(*) FILTER (value >= 50) AS timed FROM events GROUP BY ALL")
 _register(
     "q71_extended_join",
-    lambda s, d: _extended(s, d, "SELECT a.event_type, a.event_id, row_number() OVER (PARTITION BY a.event_type ORDER BY a.event_id) AS r FROM events a JOIN events b ON a.event_id = b.event_id + 1 WHERE b.event_type = 'view' AND a.value > (SELECT avg(value) FROM events)"),
+    lambda s, d: _extended(s, d, "SELECT a.event_type, a.event_id, CAST(row_number() OVER (PARTITION BY a.event_type ORDER BY a.event_id) AS BIGINT) AS r FROM events a JOIN events b ON a.event_id = b.event_id + 1 WHERE b.event_type = 'view' AND a.value > (SELECT avg(value) FROM events)"),
     "SELECT a.event_type, a.event_id, row_number() OVER (PARTITION BY a.event_type ORDER BY a.event_id) AS r FROM events a JOIN events b ON a.event_id = b.event_id + 1 WHERE b.event_type = 'view' AND a.value > (SELECT avg(value) FROM events)",
 )
 _register(
