@@ -85,9 +85,10 @@ def _hits(rows: DataFrame, benchmark: DataFrame, length: int) -> DataFrame:
     texts = rows.join(wanted, same).select("id", "hash", "met", words_of(F.col("text")).alias("w")).dropDuplicates(["id", "hash"])
     read = F.transform("met", lambda m: F.struct(m["pos"].alias("pos"), m["length"].alias("length"), F.array_join(F.slice("w", m["pos"] + 1, m["length"]), " ").alias("gram")))
     each = materialize(texts.select("id", "hash", F.inline(read)), "read")
-    known = grams.select("length", "gram").distinct()
+    # a passage can be in a large share of all documents, so these are broadcast if their size allows
+    owners = _small(grams.select("length", "gram", "item"), F.length("gram") + F.length("item") + 48)
+    known = _small(grams.select("length", "gram").distinct(), F.length("gram") + 32)
     hits = each.join(known, ["length", "gram"], "left_semi")
-    owners = grams.select("length", "gram", "item")
     items = hits.select("id", "hash", "length", "gram").distinct().join(owners, ["length", "gram"]).groupBy("id", "hash")
     items = items.agg(F.array_sort(F.collect_set("item")).alias("items"))
     covered = F.array_sort(F.array_distinct(F.flatten(F.collect_set(F.sequence(F.col("pos"), F.col("pos") + F.col("length") - 1)))))
